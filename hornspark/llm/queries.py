@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import chat_format, decontamination, exact_dedup, sharding
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
 }
 
 ORACLES = {
+    "op2_decontamination": decontamination.ORACLE,
+    "op3_chat_format": chat_format.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
