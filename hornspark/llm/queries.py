@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, sharding
+from . import chat_format, decontamination, exact_dedup, packing, sharding
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_chat_format": chat_format.op3_chat_format,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
