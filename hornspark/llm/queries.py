@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, packing, sharding
+from . import chat_format, decontamination, exact_dedup, packing, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_chat_format": chat_format.op3_chat_format,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op4_warc": warc.op4_warc,
     "op8_sharding": sharding.op8_sharding,
 }
 
