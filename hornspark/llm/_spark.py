@@ -110,3 +110,20 @@ def grouped_rank(df: DataFrame, keys: list[str], order: list[str], rank: str) ->
     )
     out = local.join(starts.drop("_rows"), ["_pid", *keys]).withColumn(rank, F.col("_start") + F.col("_local"))
     return out.drop("_pid", "_local", "_start"), starts
+
+
+# --------------------------------------------------------------------------- hot keys
+
+#: A key is hot with one in so many rows; so there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of their group in ``groups``.
+
+    The few groups that hold 1/1000 of ``total`` or more (so at most 1000) are broadcast,
+    and their rows stay where they are; all others are joined by a shuffle in which no
+    key is large."""
+    hot = F.broadcast(groups.filter(F.col(size) * HOT_SHARE >= total))
+    cold = groups.filter(F.col(size) * HOT_SHARE < total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -3,10 +3,10 @@
 Pass 1 counts, for every row's 64-bit hash, the slot of a fixed-size filter that it
 falls in and packs the slots with two or more rows into bitmaps.  Pass 2 tests each row
 against these bitmaps: a row whose slot was hit once is certainly unique and passes
-straight through; only the others are grouped by their full SHA-256.
+straight through; only the others are grouped by their full SHA-256.  The groups that
+hold a thousandth of all rows or more (at most 1000 groups) go to the rows by broadcast.
 
-The filter holds 32 bits a row up to 64 MB and is the only thing broadcast.  Beyond 16
-million rows it fills up: more rows take the exact way, none is lost.
+The filter holds 32 bits a row up to 64 MB; beyond 16 million rows it fills up: more rows take the exact way, none is lost.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, filter_bits, fresh, pack_slots, probe, slot_of
+from ._spark import cut, filter_bits, fresh, join_groups, pack_slots, probe, slot_of
 
 #: Runs of white space that are not one plain space already.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -34,14 +34,15 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Other columns, whatever their names, are not looked at.
     """
     hashed = cut(docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha")))
-    bits = filter_bits(hashed.count(), bits_per_row, max_filter_bytes)
+    total = hashed.count()
+    bits = filter_bits(total, bits_per_row, max_filter_bytes)
     slotted = hashed.withColumn("slot", slot_of(F.col("sha"), bits))
     twice = slotted.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("slot")
     marked = probe(slotted, cut(pack_slots(twice, "slot")), "slot", "maybe").drop("slot")
     alone = marked.filter(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     maybe = marked.filter("maybe").select("id", "sha")
-    groups = maybe.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    rows = alone.unionByName(maybe.join(groups, "sha"))
+    groups = cut(maybe.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    rows = alone.unionByName(join_groups(maybe, groups, "sha", "group_size", total))
     return rows.select(
         F.col("id").alias(id_col),
         "keep_id",
