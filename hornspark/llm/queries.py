@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, packing, sharding, warc
+from . import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op4_warc": warc.op4_warc,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op8_sharding": sharding.op8_sharding,
 }
 
