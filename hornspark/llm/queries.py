@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, warc
+from . import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
