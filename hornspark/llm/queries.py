@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, substring_dedup, warc
+from . import chat_format, decontamination, exact_dedup, lm_scoring, near_dedup, packing, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op4_warc": warc.op4_warc,
     "op5_near_dedup": near_dedup.op5_near_dedup,
