@@ -119,6 +119,21 @@ def words_of(column: pa.Array, fold: bool) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets), hash_words(data, starts, ends))
 
 
+def tokens_of(column: pa.Array, byte_class: np.ndarray) -> Words:
+    """Runs of bytes of one class (class 0 separates), with A-Z in lower case."""
+    data, offsets = text_bytes(column)
+    kind, n = byte_class[data], len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[[0, n]] = True
+    edge[1:n] = kind[1:] != kind[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    begin, end = at[:-1], at[1:]
+    real = kind[begin] != 0
+    data, starts, ends = FOLD[data], begin[real], end[real]
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), hash_words(data, starts, ends))
+
+
 def ngrams(ids: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k ids from each place on (over text borders too): len(ids) - k + 1."""
     if len(ids) < k:

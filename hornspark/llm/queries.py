@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, lm_scoring, near_dedup, packing, sharding, substring_dedup, warc
+from . import chat_format, decontamination, exact_dedup, lm_scoring, near_dedup, packing, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality": quality.op9_quality,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
