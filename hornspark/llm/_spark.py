@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the shared folder: smaller, and only the columns
+    that are asked for are read again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def split_rows(df: DataFrame, key: Column, members: DataFrame, member_key: Column, n_members: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the members', and those whose key surely is not."""
+    bits = filter_bits(n_members, 16)
+    maps = cut(pack_slots(members.select(slot_of(member_key, bits).alias("_slot")), "_slot"))
+    marked = probe(df.withColumn("_slot", slot_of(key, bits)), maps, "_slot", "_may").drop("_slot")
+    return marked.filter("_may").drop("_may"), marked.filter("NOT _may").drop("_may")
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``df`` less the rows whose ``key`` is among ``gone``'s only column.  Only rows that a
+    bounded filter lets through are shuffled; null keys stay."""
+    (mark,) = fresh(df, "_gone")
+    gone = cut(gone.toDF(mark).filter(F.col(mark).isNotNull()).distinct())
+    may, rest = split_rows(df, F.col(key), gone, F.col(mark), gone.count())
+    return rest.unionByName(may.join(gone, F.col(key) == F.col(mark), "left_anti"))
+
+
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch, so that a batch of very long texts fits in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -85,9 +111,7 @@ def probe(df: DataFrame, bitmaps: DataFrame, slot: str, flag: str) -> DataFrame:
 def semi_filter(df: DataFrame, key: Column, members: DataFrame, member_key: Column, n_members: int) -> DataFrame:
     """Rows of ``df`` whose key may be among the members': a bounded filter ahead of a join,
     so that only rows which can match are shuffled."""
-    bits = filter_bits(n_members, 16)
-    maps = cut(pack_slots(members.select(slot_of(member_key, bits).alias("_slot")), "_slot"))
-    return probe(df.withColumn("_slot", slot_of(key, bits)), maps, "_slot", "_may").filter("_may").drop("_slot", "_may")
+    return split_rows(df, key, members, member_key, n_members)[0]
 
 
 # --------------------------------------------------------------------------- ranks
