@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, fresh
+from ._spark import cut, without
 
 #: Everything that separates words: all of ASCII but digits and small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -167,9 +167,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones; all columns stay."""
-    (mark,) = fresh(docs, "drop_id")
-    gone = contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col(id_col).alias(mark)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(mark), "left_anti")
+    return without(docs, id_col, contamination(docs, items, id_col, text_col).filter("contaminated").select(id_col))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, filter_bits, fresh, join_groups, pack_slots, probe, slot_of
+from ._spark import cut, filter_bits, fresh, join_groups, pack_slots, probe, slot_of, split_rows
 
 #: Runs of white space that are not one plain space already.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -53,11 +53,18 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without later copies of a text; all columns stay.  Rows that share id and
-    text stay together."""
-    (mark,) = fresh(docs, "drop_id")
-    gone = duplicate_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias(mark)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(mark), "left_anti")
+    """``docs`` with one row of each text, that with the smallest id; all columns stay.  Of
+    repeated rows that share id and text any one stays.  Only rows that may have a copy are
+    shuffled."""
+    sha, gid, gsha, kept = fresh(docs, "_sha", "_gid", "_gsha", "_kept")
+    marks = duplicate_groups(docs, id_col, text_col).filter("group_size > 1")
+    marks = cut(marks.select(F.col(id_col).alias(gid), F.col("text_sha256").alias(gsha), F.col("kept").alias(kept)).distinct())
+    hashed = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    may, rest = split_rows(hashed, F.col(sha), marks, F.col(gsha), marks.count())
+    found = may.join(marks, (F.col(sha) == F.col(gsha)) & F.col(id_col).eqNullSafe(F.col(gid)), "left").filter(F.coalesce(F.col(kept), F.lit(True)))
+    single = found.filter(F.col(gsha).isNull()).select(*hashed.columns)
+    copied = found.filter(F.col(gsha).isNotNull()).select(*hashed.columns).dropDuplicates([id_col, sha])
+    return rest.unionByName(single).unionByName(copied).drop(sha)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_batches, cut, fresh, grouped_rank, join_groups, semi_filter
+from ._spark import arrow_batches, cut, grouped_rank, join_groups, semi_filter, without
 from ._words import mix, ngrams, sub_batches, words_of
 from .components import connected_components
 
@@ -39,7 +39,7 @@ SKETCH_EQUAL = 16
 #: Pairs are listed in buckets of up to so many documents.
 SMALL_BUCKET = 16
 #: Documents of a family that one task compares with each other.
-TILE = 512
+TILE = 256
 #: Rows of a batch; the shingle keys hold the row in their upper 8 bits.
 BATCH = 256
 
@@ -277,9 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """``docs`` with one document of each component; all columns stay."""
-    (mark,) = fresh(docs, "drop_id")
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col(id_col).alias(mark)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(mark), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(id_col))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
