@@ -35,6 +35,7 @@ class Engine:
         self.max_rounds, self.doubling = max_rounds, doubling
         self.program = Program()
         self.given: dict[Key, DataFrame] = {}
+        self.columns: dict[Key, list[str]] = {}
         self.functions: dict[Key, tuple[Callable[..., DataFrame], tuple[Key, ...]]] = {}
 
     # ------------------------------------------------------------------ relations
@@ -46,6 +47,7 @@ class Engine:
             arity = len(rows[0]) if arity is None else arity
             rows = self.spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows], ", ".join(f"c{i} string" for i in range(arity))) if arity else self.spark.range(min(1, len(rows))).select()
         key, df = (name, len(rows.columns)), R.positional(rows)
+        self.columns.setdefault(key, rows.columns)
         self.given[key] = R.union(self.spark, [R.Relation(self.given[key]), R.Relation(df)], key[1]).df if key in self.given else df
         return self
 
@@ -121,9 +123,10 @@ class Engine:
         return prepared.describe() + (prepared.rows()._jdf.queryExecution().toString() if spark_plan else "")
 
     def to_sql(self, query: str | None = None) -> str:
+        """One SQL statement.  Registered relations are tables of their names and columns."""
         from .sqlgen import to_sql
 
-        return to_sql(self.program, self.program.resolve(query, self.known()), {k: df.columns for k, df in self.given.items()})
+        return to_sql(self.program, self.program.resolve(query, self.known()), self.columns)
 
 
 class Prepared:

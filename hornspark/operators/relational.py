@@ -69,14 +69,21 @@ def witness(df: DataFrame) -> DataFrame:
     return df.select(F.lit(1).alias("_any")).limit(1)
 
 
+def comparable(left: DataFrame, right: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Columns of different types compare as texts, unless both are numbers."""
+    for c in columns:
+        kinds = [d.schema[c].dataType for d in (left, right)]
+        if kinds[0] != kinds[1] and not all(isinstance(k, T.NumericType) for k in kinds):
+            left, right = (d.withColumn(c, F.col(c).cast("string")) for d in (left, right))
+    return left, right
+
+
 def join(left: DataFrame, right: DataFrame, keep_right: bool) -> DataFrame:
     """Natural join on the common columns; with ``keep_right`` false a semi-join."""
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         return left.crossJoin(right) if keep_right else left.join(F.broadcast(witness(right)), F.lit(True), "left_semi")
-    for c in shared:
-        if left.schema[c].dataType != right.schema[c].dataType and not all(isinstance(d.schema[c].dataType, T.NumericType) for d in (left, right)):
-            left, right = (d.withColumn(c, F.col(c).cast("string")) for d in (left, right))
+    left, right = comparable(left, right, shared)
     return left.join(right, shared, "inner" if keep_right else "left_semi")
 
 
@@ -85,10 +92,7 @@ def anti_join(left: DataFrame, right: DataFrame) -> DataFrame:
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         return left.join(F.broadcast(witness(right)), F.lit(True), "left_anti")
-    right = right.select(*shared)
-    for c in shared:
-        if left.schema[c].dataType != right.schema[c].dataType:
-            left, right = (d.withColumn(c, F.col(c).cast("string")) for d in (left, right))
+    left, right = comparable(left, right.select(*shared), shared)
     return left.join(right, shared, "left_anti")
 
 

@@ -262,7 +262,7 @@ def to_sql_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n in ("nation", "region", "supplier"):
         df = INPUTS[n][0](spark, sf_dir)
         df.createOrReplaceTempView(f"hs_{n}")
-        e.given[(f"hs_{n}", len(df.columns))] = df
+        e.register(f"hs_{n}", df)
     e.add("o(N, R) :- hs_nation(K, N, G), hs_region(G, R), not hs_supplier(1, K), not same(N, R). same(N, N) :- hs_region(_, N).")
     return spark.sql(e.to_sql("o")).toDF("n", "r")
 

@@ -1,0 +1,119 @@
+import gzip
+import os
+
+import pytest
+
+from hornspark import cli
+from hornspark.engine import Engine
+from hornspark.parser import parse
+from hornspark.sources import files, shell, triples
+
+
+def got(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.fixture
+def arcs(tmp_path):
+    path = tmp_path / "arcs.tsv"
+    path.write_text("".join(f"{i}\t{i + 1}\n" for i in range(1, 8)))
+    return path
+
+
+def test_read_file_and_recurse(spark, arcs):
+    out = Engine(spark).add(f"arc(X, Y) :~ cat {arcs}\nt(X, Y) :- arc(X, Y). t(X, Z) :- t(X, Y), arc(Y, Z).").query()
+    assert out.count() == 28
+
+
+def test_fields_are_not_interpreted(spark, tmp_path):
+    (tmp_path / "x").write_text('a\t\t"q\n$x\nlong\t2\t3\t4\n')
+    assert got(files.read_tsv(spark, str(tmp_path / "x"), 3)) == [("$x", "", ""), ("a", "", '"q'), ("long", "2", "3")]
+
+
+def test_globs_parameters_and_several_files(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.tsv").write_text(f"{n}\n")
+    e = Engine(spark, params=[str(tmp_path)])
+    assert got(e.add("p(X) :~ cat $1/*.tsv").query()) == [("a",), ("b",)]
+    assert got(e.add("q(X) :~ cat ${1}/a.tsv $1/b.tsv").query()) == [("a",), ("b",)]
+    with pytest.raises(LookupError):
+        Engine(spark).add("p(X) :~ cat $1").query()
+
+
+def test_compressed_files(spark, tmp_path):
+    with gzip.open(tmp_path / "x.gz", "wt") as f:
+        f.write("a\tb\n")
+    assert got(Engine(spark).add(f"p(X, Y) :~ zcat {tmp_path}/x.gz").query()) == [("a", "b")]
+
+
+def test_alias(spark):
+    e = Engine(spark).register("p", [("a",)])
+    assert got(e.add("q(X) :~ cat !p/1").query()) == [("a",)]
+
+
+def test_commands_need_permission(spark):
+    e = Engine(spark).register("p", [("b", "1"), ("a", "2")])
+    text = "q(X) :~ cut -f1 !p | tr a-z A-Z"
+    with pytest.raises(shell.ShellNotAllowed):
+        e.add(text).query()
+    allowed = Engine(spark, allow_shell=True).register("p", [("b", "1"), ("a", "2")])
+    assert got(allowed.add(text).query()) == [("A",), ("B",)]
+
+
+def test_ntriples_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("<s>", "<p>", '"a b . c"@en'), ("_:x", "<p>", "<o>")], "s string, p string, o string")
+    files.write_ntriples(df, str(tmp_path / "nt"))
+    assert got(files.read_ntriples(spark, str(tmp_path / "nt"))) == [("<s>", "<p>", '"a b . c"@en'), ("_:x", "<p>", "<o>")]
+    (tmp_path / "c.nt").write_text("# comment\n\n<a> <b> <c> .\n")
+    assert got(files.read_ntriples(spark, str(tmp_path / "c.nt"))) == [("<a>", "<b>", "<c>")]
+
+
+def test_sorted_distinct_output(spark, tmp_path):
+    df = spark.createDataFrame([("b", None), ("a", "x"), ("a", "x")], "x string, y string")
+    assert list(files.sorted_lines(df)) == ["a\tx", "b\t"]
+    files.write_tsv(df, str(tmp_path / "out"))
+    lines = [line for f in sorted(os.listdir(tmp_path / "out")) if f.startswith("part") for line in (tmp_path / "out" / f).read_text().splitlines()]
+    assert lines == ["a\tx", "b\t"]
+    assert list(files.sorted_lines(spark.range(3).select())) == [""]
+
+
+def test_folder_of_relations(spark, tmp_path):
+    (tmp_path / "Person").write_text("ann\n")
+    (tmp_path / "knows").write_text("ann\tbob\n")
+    e = Engine(spark).register_directory(str(tmp_path)).add("o(Y) :- Person(X), knows(X, Y).")
+    assert got(e.query()) == [("bob",)]
+
+
+def test_triple_store_rules(spark):
+    rules = triples.input_rules(parse("o(X) :- Person(X), knows(X, Y), known(Y)."), {("known", 1)})
+    assert sorted(map(str, rules)) == ['Person(X) :- facts(X, "rdf:type", "Person").', 'knows(X, Y) :- facts(X, "knows", Y).']
+    e = Engine(spark).register("facts", [("a", "rdf:type", "Person"), ("a", "knows", "b")]).add("o(Y) :- Person(X), knows(X, Y).").add_triple_rules()
+    assert got(e.query("o")) == [("b",)]
+
+
+def test_catalog_tables(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    assert got(Engine(spark).register_table("t", "three", ["id"]).add("o(X) :- t(X).").query()) == [(0,), (1,), (2,)]
+
+
+def test_split_by_predicate(spark, tmp_path):
+    files.split_by_predicate(spark.createDataFrame([("a", "p", "b"), ("c", "q", "d")], "s string, p string, o string"), str(tmp_path / "out"))
+    assert got(files.read_tsv(spark, str(tmp_path / "out" / "predicate=p"), 2)) == [("a", "b")]
+
+
+def test_command_line(spark, arcs, tmp_path, capsys):
+    program = tmp_path / "p.datalog"
+    program.write_text("arc(X, Y) :~ cat $1\nt(X, Y) :- arc(X, Y). t(X, Z) :- t(X, Y), arc(Y, Z).\n")
+    assert cli.main(["--query-file", str(program), "--query-pred", "t/2", str(arcs)], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 28 and out == sorted(out)
+    cli.main(["--query-file", str(program), "--plan", str(arcs)], spark)
+    assert "loop t/2" in capsys.readouterr().out
+    query, data, schema = tmp_path / "q.rq", tmp_path / "d.nt", tmp_path / "o.ttl"
+    query.write_text("PREFIX u: <http://u/> SELECT ?x WHERE { ?x a u:Party }")
+    data.write_text("<http://u/a> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://u/Shop> .\n")
+    schema.write_text("@prefix u: <http://u/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . u:Shop rdfs:subClassOf u:Party .")
+    cli.main(["--sparql", str(query), "--owl", str(schema), "--ntriples", str(data), "--debug-datalog", "--debug-algebra"], spark)
+    assert capsys.readouterr().out.splitlines() == ["u:a"]
+    with pytest.raises(SystemExit):
+        cli.main([], spark)
