@@ -40,10 +40,11 @@ def table(df: DataFrame) -> DataFrame:
 
 def split_rows(df: DataFrame, key: Column, members: DataFrame, member_key: Column, n_members: int) -> tuple[DataFrame, DataFrame]:
     """The rows whose key may be among the members', and those whose key surely is not."""
+    slot, may = fresh(df, "_slot", "_may")
     bits = filter_bits(n_members, 16)
-    maps = cut(pack_slots(members.select(slot_of(member_key, bits).alias("_slot")), "_slot"))
-    marked = probe(df.withColumn("_slot", slot_of(key, bits)), maps, "_slot", "_may").drop("_slot")
-    return marked.filter("_may").drop("_may"), marked.filter("NOT _may").drop("_may")
+    maps = cut(pack_slots(members.select(slot_of(member_key, bits).alias(slot)), slot))
+    marked = probe(df.withColumn(slot, slot_of(key, bits)), maps, slot, may).drop(slot)
+    return marked.filter(F.col(may)).drop(may), marked.filter(~F.col(may)).drop(may)
 
 
 def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
@@ -99,13 +100,12 @@ def pack_slots(slots: DataFrame, slot: str) -> DataFrame:
 def probe(df: DataFrame, bitmaps: DataFrame, slot: str, flag: str) -> DataFrame:
     """Add boolean ``flag``: is the row's slot in the bitmaps?  The bitmaps are broadcast;
     ``filter_bits`` bounds them."""
+    no, bitmap = fresh(df, "bitmap_no", "bitmap")
     pos = F.expr(f"bitmap_bit_position({slot})")
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn("bitmap_no", F.expr(f"bitmap_bucket_number({slot})")).join(
-        F.broadcast(bitmaps), "bitmap_no", "left"
-    )
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.floor(byte / F.pow(F.lit(2.0), pos % 8)).cast("int") % 2
-    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("bitmap", "bitmap_no")
+    joined = df.withColumn(no, F.expr(f"bitmap_bucket_number({slot})")).join(F.broadcast(bitmaps.toDF(no, bitmap)), no, "left")
+    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(bitmap, no)
 
 
 def semi_filter(df: DataFrame, key: Column, members: DataFrame, member_key: Column, n_members: int) -> DataFrame:

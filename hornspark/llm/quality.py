@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import arrow_batches, fresh
-from ._words import IS_SPACE, mix, sub_batches, text_bytes, tokens_of
+from ._words import IS_SPACE, hash_words, mix, sub_batches, text_bytes, tokens_of
 
 #: Rows to fit on at most, by expectation (a hash threshold picks them).
-SAMPLE, POOL = 12_000, 4000
+SAMPLE, POOL = 8000, 3000
 #: Labelled rows that must hold a token for it to be a feature.
 LEAST_ROWS = 4
 ROUNDS = 3
@@ -35,9 +35,9 @@ SURE, HANDED = 0.98, 300
 #: One labelled row in so many is kept for calibration.
 CALIBRATE = 5
 THRESHOLD = 0.5
-STEPS, RATE, DECAY = 300, 0.5, 1e-4
-#: Likelihood ratio from which on a token counts as telling (chi square of 1 degree, 1 in 10,000).
-TELLING = 15.1
+STEPS, RATE, DECAY = 800, 1.0, 1e-5
+#: Likelihood ratio from which on a token counts as telling (chi square of 1 degree, 1 in a million).
+TELLING = 23.9
 
 #: Classes of bytes: 0 white space, 1 letters and digits (all of UTF-8 beyond ASCII), 2 the rest.
 BYTE_CLASS = np.full(256, 2, np.uint8)
@@ -46,39 +46,53 @@ BYTE_CLASS[IS_SPACE] = 0
 #: Shape features get ids that token hashes do not: their hash of a small number.
 SHAPES = ("repeat", "upper", "symbol", "distinct")
 BINS = 8
+#: Bytes of a word's start that are features too, for words that are longer.
+STARTS = (4, 6)
 
 
 def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature ids of each text, text by text, and the texts' bounds among them.
 
-    Features are the tokens (runs of letters and digits, or of symbols, in lower case), and
-    the binned shares of repeated tokens, capitals, symbols and distinct tokens."""
+    Features are the tokens (runs of letters and digits, or of symbols, in lower case), the
+    starts of longer words, and the binned shares of repeated tokens, capitals, symbols and
+    distinct tokens."""
     tokens = tokens_of(column, BYTE_CLASS)
     n = len(tokens.first) - 1
     count = np.diff(tokens.first)
     row = np.repeat(np.arange(n), count)
-    order = np.lexsort((tokens.ids, row))
-    r, t = row[order], tokens.ids[order]
-    new = np.append(True, (r[1:] != r[:-1]) | (t[1:] != t[:-1])) if len(r) else np.zeros(0, bool)
-    r, t = r[new], t[new]
+    again = np.zeros(len(row), bool)
+    again[1:] = (tokens.ids[1:] == tokens.ids[:-1]) & (row[1:] == row[:-1])
+    r, t = distinct(row, tokens.ids)
+    different = np.bincount(r, minlength=n)
+    parts = [(r, t)]
+    for k in STARTS:
+        long = np.flatnonzero(tokens.ends - tokens.starts > k)
+        starts = hash_words(tokens.data, tokens.starts[long], tokens.starts[long] + k)
+        parts.append(distinct(row[long], mix(starts ^ np.uint64(k))))
     data, offsets = text_bytes(column)
     per_text = lambda flags: np.diff(np.append(0, np.cumsum(flags))[offsets])
     size = np.maximum(np.diff(offsets), 1)
-    again = np.zeros(len(row), bool)
-    again[1:] = (tokens.ids[1:] == tokens.ids[:-1]) & (row[1:] == row[:-1])
     shares = (
         np.bincount(row, again, n) / np.maximum(count, 1),
         per_text((data >= 65) & (data <= 90)) / size,
         per_text(BYTE_CLASS[data] == 2) / size,
-        np.bincount(r, minlength=n) / np.maximum(count, 1),
+        different / np.maximum(count, 1),
     )
     shape = [mix(np.uint64(1 + k * BINS) + np.minimum((s * BINS).astype(np.uint64), np.uint64(BINS - 1))) for k, s in enumerate(shares)]
-    rows = np.concatenate([r, np.tile(np.arange(n), len(SHAPES))])
-    ids = np.concatenate([t, *shape])
+    rows = np.concatenate([*[r for r, _ in parts], np.tile(np.arange(n), len(SHAPES))])
+    ids = np.concatenate([*[t for _, t in parts], *shape])
     order = np.argsort(rows, kind="stable")
     return ids[order], np.searchsorted(rows[order], np.arange(n + 1))
 
 
+def distinct(row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of each row."""
+    order = np.lexsort((ids, row))
+    r, t = row[order], ids[order]
+    new = np.append(True, (r[1:] != r[:-1]) | (t[1:] != t[:-1])) if len(r) else np.zeros(0, bool)
+    return r[new], t[new]
+
+
 def meta_names(batch: pa.RecordBatch, columns: list[str]) -> list[list[str]]:
     """Feature names of each row's metadata: numbers by their power of two, others by value."""
     out: list[list[str]] = [[] for _ in range(batch.num_rows)]
@@ -202,7 +216,6 @@ def co_train(xs: list[Rows], y: np.ndarray) -> CoTrained:
         apart = np.zeros(n, bool)
     train, held = np.flatnonzero(~apart), np.flatnonzero(apart) if apart.any() else np.arange(n)
     pool = np.arange(n, len(xs[0].bounds) - 1)
-    xs = [x.only(telling(x.take(train), y[train])) for x in xs]
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view was handed
     views: list[View] = []
     for r in range(ROUNDS + 1):
@@ -210,7 +223,8 @@ def co_train(xs: list[Rows], y: np.ndarray) -> CoTrained:
         for x, extra in zip(xs, given, strict=True):
             rows = np.append(train, np.array(list(extra), np.int64))
             target = np.append(y[train], np.array(list(extra.values()), np.float64))
-            view = View(*fit_logistic(x.take(rows), target))
+            own = x.take(rows)
+            view = View(*fit_logistic(own.only(telling(own, target)), target))
             view.slope, view.shift = fit_platt(x.take(held).times(view.weights) + view.intercept, y[held])
             views.append(view)
         if r == ROUNDS or not len(pool):
@@ -246,7 +260,7 @@ class Model:
         return Rows(np.array([x for row in found for x in row], np.int64), np.append(0, np.cumsum([len(row) for row in found], dtype=np.int64)), len(self.names))
 
 
-def gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: list[str], targets: list[str], sample: int, pool: int) -> list[dict]:
+def gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: list[str], targets: list[str], sample: int, pool: int) -> pa.Table:
     """Features and labels (null in the pool) of at most about ``sample`` + ``pool`` rows."""
     marks = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*[F.max(t).cast("int").alias(f"_{t}") for t in targets])
     n_marks, n_docs = marks.count(), docs.count()
@@ -271,26 +285,36 @@ def gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta:
     arrow_batches(docs.sparkSession)
     found = labelled.unionByName(rest).mapInArrow(run, schema).toArrow()
     order = np.argsort(np.array([str(x) for x in found.column("_id").to_pylist()]), kind="stable")  # as if gathered in one order
-    return found.take(pa.array(order)).to_pylist()
+    return found.take(pa.array(order)).combine_chunks()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: list[str] | None = None, targets: tuple[str, ...] = ("quality", "toxic"), sample: int = SAMPLE, pool: int = POOL) -> Model:
     meta = ["lang", "source", "n_chars"] if meta is None else meta
-    rows = gather(docs, labels, id_col, text_col, meta, list(targets), sample, pool)
-    marked = [r for r in rows if any(r[f"_{t}"] is not None for t in targets)]
-    ids, held = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(r["ids"], np.int64) for r in marked]]).view(np.uint64), return_counts=True)
-    names = sorted({x for r in marked for x in r["names"]})
-    model = Model(ids[held >= LEAST_ROWS], {x: i for i, x in enumerate(names)}, {})
+    found = gather(docs, labels, id_col, text_col, meta, list(targets), sample, pool)
+    column = lambda c: pa.concat_arrays(found.column(c).chunks) if found.num_rows else pa.array([], found.schema.field(c).type)
+    y = {t: column(f"_{t}").cast(pa.float64()).to_numpy(zero_copy_only=False) for t in targets}
+    marked = ~np.all([np.isnan(v) for v in y.values()], axis=0)
+    bounds, ids = lists(column("ids"))
+    ids = ids.to_numpy().view(np.uint64)
+    tokens, held = np.unique(ids[np.repeat(marked, np.diff(bounds))], return_counts=True)
+    edges, names = lists(column("names"))
+    names = np.array(names.to_pylist(), dtype=object)
+    known = sorted(set(names[np.repeat(marked, np.diff(edges))]))
+    model = Model(tokens[held >= LEAST_ROWS], {x: i for i, x in enumerate(known)}, {})
+    views = [model.text_rows(ids, bounds), model.meta_rows([list(names[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])]
     for t in targets:
-        own = [r for r in rows if r[f"_{t}"] is not None]
-        both = own + [r for r in rows if r[f"_{t}"] is None]
-        flat = np.concatenate([np.zeros(0, np.int64), *[np.array(r["ids"], np.int64) for r in both]]).view(np.uint64)
-        bounds = np.append(0, np.cumsum([len(r["ids"]) for r in both], dtype=np.int64))
-        xs = [model.text_rows(flat, bounds), model.meta_rows([r["names"] for r in both])]
-        model.targets[t] = co_train(xs, np.array([r[f"_{t}"] > 0 for r in own], np.float64))
+        own = ~np.isnan(y[t])
+        order = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
+        model.targets[t] = co_train([x.take(order) for x in views], (y[t][own] > 0).astype(np.float64))
     return model
 
 
+def lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Bounds and flat values of a list column."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return bounds - bounds[0], column.flatten()
+
+
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta: list[str] | None = None) -> DataFrame:
     """All columns of ``docs`` go through; added are p_<target> for every target and
     ``rejected``: quality under, or toxicity at or over, the threshold.  Names that are taken
