@@ -351,8 +351,9 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None, id_col: st
             frequent[frequent] = wids[at[frequent]] == signed[frequent]
             hit = frequent[place]
             where, mine = at[place[hit]], doc[hit]
-            base = np.bincount(mine, np.log10(cs[where] + 1.0), rows)
-            sums = np.stack([np.bincount(mine, lp[where, k], rows) for k in range(classes)], 1) + start
+            summed = lambda x: np.bincount(mine, x, rows).astype(float)  # noqa: B023, E731  (of nothing: whole numbers)
+            base = summed(np.log10(cs[where] + 1.0))
+            sums = np.stack([summed(lp[where, k]) for k in range(classes)], 1) + start
             likely = sums >= sums.max(1, keepdims=True) - PLAUSIBLE
             pair, tf = np.unique((doc * max(1, len(ids)) + place)[~hit], return_counts=True)
             bounds = pa.array(np.searchsorted(pair, np.arange(rows + 1) * max(1, len(ids))), pa.int32())
