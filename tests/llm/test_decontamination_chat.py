@@ -1,0 +1,109 @@
+import collections
+
+import pytest
+
+from hornspark.llm import chat_format, decontamination
+
+from . import brute
+from .conftest import rows
+
+
+@pytest.fixture
+def items(spark, texts):
+    own = [(0, None), (1, ""), (2, "--- !!"), (3, "one two"), (4, "THE of"), (5, "nowhere-found"), (6, "a")]
+    own += [(100 + d, " ".join((t or "").split(" ")[3:30])) for d, t in texts[12:40:3]]
+    own += [(100 + texts[12][0], "one two three"), (300, texts[20][1]), (301, texts[20][1])]
+    return own
+
+
+def item_table(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_contamination(spark, texts, items, table):
+    got = rows(decontamination.contamination(table(texts), item_table(spark, items)))
+    assert got == sorted(brute.contamination(texts, items), key=str)
+    assert any(r[-1] for r in got) and not all(r[-1] for r in got)
+
+
+def test_blocks_change_nothing(spark, texts, items, table):
+    got = decontamination.contamination(table(texts), item_table(spark, items), block_words=10)
+    assert rows(got) == sorted(brute.contamination(texts, items), key=str)
+
+
+def test_contamination_rule(spark, table):
+    item = " ".join(f"q{i}" for i in range(13))
+    filler = lambda n: " ".join(f"f{i}" for i in range(n))
+    docs = [(1, f"{filler(247)} {item}"), (2, f"{filler(248)} {item}"), (3, item.upper().replace(" ", ", ")), (4, " ".join(item.split()[:12])), (4, item), (None, item)]
+    got = rows(decontamination.contamination(table(docs), item_table(spark, [(1, item)])))
+    assert got == sorted(brute.contamination(docs, [(1, item)]), key=str)
+    kept = decontamination.drop_contaminated(table(docs[:4]), item_table(spark, [(1, item)]))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4] and kept.columns == table(docs).columns
+
+
+def test_contamination_of_nothing(spark, texts, table):
+    assert decontamination.contamination(table([]), item_table(spark, [(1, "a b")])).count() == 0
+    got = rows(decontamination.contamination(table(texts), item_table(spark, [(1, "a")]).limit(0)))
+    assert got == sorted(brute.contamination(texts, []), key=str)
+
+
+def test_contamination_runs_no_python(spark, texts, items, table):
+    plan = decontamination.contamination(table(texts), item_table(spark, items))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_proximity(table):
+    docs = [(1, "red x x blue x red"), (2, "blue red"), (3, "red x x x x blue"), (4, None), (5, "red red blue")]
+    got = rows(decontamination.proximity_matches(table(docs), ["red", "blue"], slop=4))
+    for doc, start, end in got:
+        own = brute.alnum_words(dict(docs)[doc])[start:end]
+        assert {"red", "blue"} <= set(own) and len(own) <= 4
+    assert {d for d, _, _ in got} == {1, 2, 5}
+
+
+def rendered(turns):
+    out = []
+    convs = collections.defaultdict(list)
+    for conv, turn, role, text in turns:
+        convs[conv].append((turn is not None, turn or 0, role or "unknown", text or ""))
+    for conv, own in convs.items():
+        own.sort()
+        for who in {r for _, _, r, _ in own if r != "system"}:
+            at = 0
+            for k, (_, _, role, text) in enumerate(own):
+                speaker = "assistant" if role == who else "system" if role == "system" else "user"
+                head = f"<|{speaker}{' name=' + role if speaker == 'user' else ''}|>\n"
+                segment = f"{head}{text}\n<|end|>\n"
+                mask = (at + len(head), at + len(segment)) if speaker == "assistant" else (None, None)
+                out.append((conv, who, k, role, speaker, segment, at, *mask))
+                at += len(segment)
+    return sorted(out, key=str)
+
+
+TURNS = [
+    (1, 0, "system", "be kind"), (1, 1, "ann", "hi é"), (1, 2, "bob", "hello"), (1, 3, "carl", None), (1, 3, "ann", "tie"), (1, 4, "bob", ""),
+    (2, 0, "system", "alone"), (3, None, None, "who?"), (3, 1, "ann", "x" * 50000), (None, 0, "ann", "lost"), (None, 1, "bob", "too"),
+    (4, 0, "ann", "same"), (4, 0, "ann", "same"), (5, 0, "ann", "<|end|>"),
+]
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_rotation(spark, partitions):
+    turns = TURNS + [(9, i, f"p{i % 2}", f"turn {i}") for i in range(300)]
+    df = spark.createDataFrame([(*t, "extra", 1) for t in turns], "conv_id long, turn long, role string, text string, pid string, seq int").repartition(partitions)
+    got = chat_format.rotate(df)
+    assert rows(got) == rendered(turns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_rendered_masks(spark):
+    df = spark.createDataFrame(TURNS[:6], "conv_id long, turn long, role string, text string")
+    for r in chat_format.render(chat_format.rotate(df)).collect():
+        own = [(role, text or "") for _, _, role, text in TURNS[:6]]
+        said = [r.text[m.start : m.end] for m in r.masks]
+        assert sorted(said) == sorted(f"{t}\n<|end|>\n" for role, t in own if role == r.perspective)
+
+
+def test_rotation_of_nothing(spark):
+    assert chat_format.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
