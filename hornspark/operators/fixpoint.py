@@ -29,6 +29,8 @@ BROADCAST_VALUES = 200_000
 PARTS, PART_ROWS = 8, 2_000_000
 #: Known rows up to which a round's rules share as many tasks as there are cores.
 SMALL_ROWS = 1_000_000
+#: Known rows from which on a round looks at how much it derived before it compares.
+LARGE_ROWS = 5_000_000
 
 
 class IterationLimit(RuntimeError):
@@ -97,8 +99,7 @@ class Loop:
             derived, total = common_types([derived, total])
             if sum(n for n, _ in known) <= SMALL_ROWS:  # many rules over few rows would be many empty tasks
                 derived = derived.coalesce(self.spark.sparkContext.defaultParallelism)
-            plain = [f"x{i}" for i in range(len(total.columns))]
-            delta = cut(R.minus(derived.toDF(*plain).distinct(), total).toDF(*total.columns))
+            delta = self.new_rows(derived, total, sum(n for n, _ in known))
             size = delta.count()
             log.info("%s: round %d, %d new rows", ", ".join(map(key_text, self.group)), rounds, size)
             if size:
@@ -108,6 +109,16 @@ class Loop:
         total = together([df for _, df in known])
         return {k: R.Relation(of_tag(total, i, k[1]), True) for i, k in enumerate(self.group)}
 
+    def new_rows(self, derived: DataFrame, total: DataFrame, known: int) -> DataFrame:
+        """What of ``derived`` is not known.  Where much is known and little was derived, the
+        derived rows go to the known ones, which then need no shuffle."""
+        fresh = derived.toDF(*[f"x{i}" for i in range(len(total.columns))]).distinct()
+        if known > LARGE_ROWS:
+            fresh = cut(fresh)
+            if fresh.count() * len(total.columns) <= BROADCAST_VALUES:
+                total = R.common(total, F.broadcast(fresh))
+        return cut(R.minus(fresh, total).toDF(*total.columns))
+
     def compacted(self, known: list[tuple[int, DataFrame]]) -> list[tuple[int, DataFrame]]:
         """The smaller half of the parts written as one, so that parts stay few and a row is
         written again only as often as its part doubles."""

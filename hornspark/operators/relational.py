@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,10 +114,19 @@ def union(spark: SparkSession, parts: list[Relation], arity: int) -> Relation:
     return Relation(out.distinct(), True)
 
 
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """All columns equal by place; nulls equal nulls, or a loop would never end."""
+    return all_of([left[a].eqNullSafe(right[b]) for a, b in zip(left.columns, right.columns, strict=True)])
+
+
+def common(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of ``df`` that ``other`` holds too; the columns' names must differ."""
+    return df.join(other, same_row(df, other), "left_semi")
+
+
 def minus(new: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of ``new`` not in ``known``; nulls equal nulls, or a loop would never end."""
+    """Rows of ``new`` not in ``known``."""
     if not new.columns:
         return new.join(F.broadcast(witness(known)), F.lit(True), "left_anti")
     right = known.toDF(*[f"k{i}" for i in range(len(known.columns))])
-    same = all_of([F.col(c).eqNullSafe(F.col(f"k{i}")) for i, c in enumerate(new.columns)])
-    return new.join(right, same, "left_anti")
+    return new.join(right, same_row(new, right), "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hornspark.ast import Program, Rule
 from hornspark.engine import Engine
+from hornspark.operators import fixpoint
 from hornspark.operators.fixpoint import IterationLimit
 from hornspark.parser import parse
 from hornspark.plans import rewrite
@@ -115,6 +116,14 @@ def test_many_rounds_are_compacted(spark):
     assert len(rows(spark, 'r("0"). r(Y) :- r(X), e(X, Y).', long)) == 15
 
 
+def test_loops_over_many_known_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "LARGE_ROWS", 0)
+    for most in (0, 10**6):
+        monkeypatch.setattr(fixpoint, "BROADCAST_VALUES", most)
+        assert rows(spark, LINEAR, CHAIN, doubling=False) == CLOSED
+        assert rows(spark, "a() :- p(X, X). a() :- a(), p(X, _).", {"p": [("1", "1")]}) == [()]
+
+
 def test_nulls_end_a_loop(spark):
     df = spark.createDataFrame([("a", "b"), ("b", None)], "x string, y string")
     out = Engine(spark).register("e", df).add("t(X, Y) :- e(X, Y). t(X, Z) :- t(X, Y), e(Y, Z). t(Y, X) :- t(X, Y).").query()
