@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from .sources.shell import rows_of
 from .sources.triples import input_rules
 
 GIVEN = "__given"
+log = logging.getLogger(__name__)
 
 
 class Engine:
@@ -176,6 +178,8 @@ class Prepared:
             function, inputs = engine.functions[base]
             parts.append(R.Relation(R.positional(function(*[self.relation(k).df for k in inputs]))))
         if not parts:
+            if not key[0].endswith(GIVEN):
+                log.warning("%s has no rules and no rows: it is empty", key_text(key))
             return R.empty(engine.spark, key[1])
         return parts[0] if len(parts) == 1 else R.union(engine.spark, parts, key[1])
 

@@ -143,6 +143,20 @@ def test_arities_are_relations_of_their_own(spark):
     assert rows(spark, 'p("a"). p("a", "b"). o(X) :- p(X), p(X, _).') == [("a",)]
 
 
+def test_bound_arguments_of_relations_with_rows(spark):
+    p = "anc(X, Y) :- parent(X, Y). anc(X, Z) :- anc(X, Y), parent(Y, Z)."
+    given = {**CHAIN, "anc": [("z", "a"), ("y", "c")]}
+    assert rows(spark, p, given, 'anc("z", X)') == [("a",), ("b",), ("c",), ("d",)]
+    assert rows(spark, p, given, 'anc("y", X)') == [("c",), ("d",)]
+    assert rows(spark, p + 'o(X) :- anc("y", X), not anc("b", X).', given, "o") == []
+    assert rows(spark, p + 'o(X) :- anc("z", X), not anc("b", X).', given, "o") == [("a",), ("b",)]
+
+
+def test_unknown_relations_are_empty(spark, caplog):
+    assert rows(spark, "o(X) :- nowhere(X).") == []
+    assert "nowhere/1" in caplog.text
+
+
 def test_evaluate_several(spark):
     out = Engine(spark).evaluate(LINEAR + "root(X) :- anc(X, _), not anc(_, X).", CHAIN, ["anc", "root"])
     assert out["anc/2"].count() == 6 and [tuple(r) for r in out["root/1"].collect()] == [("a",)]
