@@ -51,9 +51,12 @@ def bought(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("p")).distinct()
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ()) -> DataFrame:
+    """Triples of all tables that have some, or of those named."""
     out = None
     for table, columns in FACT_PARTS:
+        if tables and table not in tables:
+            continue
         part = _table(spark, sf_dir, table).selectExpr(*columns)
         out = part if out is None else out.unionByName(part)
     return out
@@ -176,13 +179,13 @@ rules("recursion_then_negation", "parent part", "below(X) :- parent(X, 3). below
 rules("input_and_rules", "parent", "parent(X, Y) :- parent(Y, X). o(X) :- parent(X, 1).", "x", "SELECT x FROM parent WHERE y = 1 UNION SELECT y FROM parent WHERE x = 1")
 
 
-def same_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = parent(spark, sf_dir).filter("x < 64")
-    return Engine(spark).register("up", small).add("sg(X, X) :- up(X, _). sg(X, Y) :- up(X, A), sg(A, B), up(Y, B).").query().toDF("x", "y")
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = _table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey) AS x", "concat('n', s_nationkey) AS y")
+    return suppliers.union(_table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)"))
 
 
-QUERIES["same_generation"] = same_generation
-ORACLES["same_generation"] = "WITH RECURSIVE up AS (SELECT p_partkey AS x, p_partkey // 2 AS y FROM part WHERE p_partkey > 1 AND p_partkey < 64), sg(x, y) AS (SELECT x, x FROM up UNION SELECT a.x, b.x FROM sg JOIN up a ON a.y = sg.x JOIN up b ON b.y = sg.y) SELECT x, y FROM sg"
+INPUTS["up"] = (hierarchy, "SELECT 's' || s_suppkey AS x, 'n' || s_nationkey AS y FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation")
+rules("same_generation", "up", "sg(X, X) :- up(_, X). sg(X, Y) :- up(X, A), sg(A, B), up(Y, B).", "x y", "sg(x, y) AS (SELECT y, y FROM up UNION SELECT a.x, b.x FROM sg JOIN up a ON a.y = sg.x JOIN up b ON b.y = sg.y) SELECT x, y FROM sg", recursive=True)
 
 # --------------------------------------------------------------------------- sources and sinks
 
@@ -343,10 +346,9 @@ owl("owl_disjoint", "ex:Resident owl:disjointWith ex:Home . ex:inNation rdfs:dom
 
 
 def owl_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All triples that follow from a small ontology and the nations, by the general rules."""
+    """The classes that follow from a small ontology and the places, by the general rules."""
     triples, prefixes = parse_triples(PROLOGUE + "ex:Nation rdfs:subClassOf ex:Place . ex:inRegion rdfs:range ex:Region ; rdfs:domain ex:Place .")
-    data = facts(spark, sf_dir).filter("p IN ('ex:inRegion') OR o = 'ex:Region'")
-    return Engine(spark).register("facts", data).add(meta_rules(triples, prefixes)).query('facts(X, "rdf:type", C)').toDF("x", "c")
+    return Engine(spark).register("facts", facts(spark, sf_dir, ("region", "nation"))).add(meta_rules(triples, prefixes)).query('facts(X, "rdf:type", C)').toDF("x", "c")
 
 
 QUERIES["owl_meta"] = owl_meta
