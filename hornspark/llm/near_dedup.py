@@ -39,7 +39,7 @@ SKETCH_EQUAL = 16
 #: Pairs are listed in buckets of up to so many documents.
 SMALL_BUCKET = 16
 #: Documents of a family that one task compares with each other.
-TILE = 256
+TILE = 128
 #: Rows of a batch; the shingle keys hold the row in their upper 8 bits.
 BATCH = 256
 
