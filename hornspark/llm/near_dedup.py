@@ -174,8 +174,9 @@ def links(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, i
     common = np.bincount(column)[column] > 1  # a shingle of one document alone is in no intersection
     owner, column = owner[common], np.cumsum(fresh_value & common)[common] - 1
     shared = np.zeros((m, m), np.float32)
-    width = max(256, (32 << 20) // (4 * m))
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, max(256, (32 << 20) // (4 * m))))
+    for lo in range(0, columns, width):
         i, j = np.searchsorted(column, [lo, lo + width])
         x = np.zeros((m, width), np.float32)
         x[owner[i:j], column[i:j] - lo] = 1

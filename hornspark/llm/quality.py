@@ -26,7 +26,7 @@ from ._spark import arrow_batches, fresh
 from ._words import IS_SPACE, hash_words, mix, sub_batches, text_bytes, tokens_of
 
 #: Rows to fit on at most, by expectation (a hash threshold picks them).
-SAMPLE, POOL = 8000, 3000
+SAMPLE, POOL = 6000, 1000
 #: Labelled rows that must hold a token for it to be a feature.
 LEAST_ROWS = 4
 ROUNDS = 3
@@ -117,8 +117,10 @@ class Rows:
 
     def take(self, rows: np.ndarray) -> Rows:
         size = np.diff(self.bounds)[rows]
-        at = np.repeat(self.bounds[:-1][rows] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        return Rows(self.index[at], np.append(0, np.cumsum(size)), self.width)
+        ends = np.append(0, np.cumsum(size))
+        at = np.arange(ends[-1], dtype=np.int32 if len(self.index) < 1 << 31 else np.int64)
+        at += np.repeat((self.bounds[:-1][rows] - ends[:-1]).astype(at.dtype), size)
+        return Rows(self.index[at], ends, self.width)
 
     def only(self, columns: np.ndarray) -> Rows:
         keep = columns[self.index]
@@ -253,7 +255,7 @@ class Model:
         at = np.searchsorted(self.tokens, ids)
         known = at < len(self.tokens)
         known[known] = self.tokens[at[known]] == ids[known]
-        return Rows(at[known], np.append(0, np.cumsum(known))[bounds], len(self.tokens))
+        return Rows(at[known].astype(np.int32), np.append(0, np.cumsum(known))[bounds], len(self.tokens))
 
     def meta_rows(self, names: list[list[str]]) -> Rows:
         found = [[self.names[x] for x in row if x in self.names] for row in names]
@@ -296,12 +298,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = ~np.all([np.isnan(v) for v in y.values()], axis=0)
     bounds, ids = lists(column("ids"))
     ids = ids.to_numpy().view(np.uint64)
-    tokens, held = np.unique(ids[np.repeat(marked, np.diff(bounds))], return_counts=True)
     edges, names = lists(column("names"))
     names = np.array(names.to_pylist(), dtype=object)
+    del found
+    tokens, held = np.unique(ids[np.repeat(marked, np.diff(bounds))], return_counts=True)
     known = sorted(set(names[np.repeat(marked, np.diff(edges))]))
     model = Model(tokens[held >= LEAST_ROWS], {x: i for i, x in enumerate(known)}, {})
     views = [model.text_rows(ids, bounds), model.meta_rows([list(names[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])]
+    del ids
     for t in targets:
         own = ~np.isnan(y[t])
         order = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
