@@ -7,12 +7,14 @@ apart, and a row's log odds are the sum of both views' over the prior.  Quality
 toxicity are separate targets; a row that fails either is rejected.
 
 Fitting uses at most ``SAMPLE`` labelled and ``POOL`` unlabelled rows, chosen by a hash of
-the id, on the driver; scoring is one pass over all rows and whole texts.
+the id, in one task, which hands the model to the driver; scoring is one pass over all rows
+and whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -262,7 +264,7 @@ class Model:
         return Rows(np.array([x for row in found for x in row], np.int64), np.append(0, np.cumsum([len(row) for row in found], dtype=np.int64)), len(self.names))
 
 
-def gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: list[str], targets: list[str], sample: int, pool: int) -> pa.Table:
+def gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: list[str], targets: list[str], sample: int, pool: int) -> DataFrame:
     """Features and labels (null in the pool) of at most about ``sample`` + ``pool`` rows."""
     marks = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*[F.max(t).cast("int").alias(f"_{t}") for t in targets])
     n_marks, n_docs = marks.count(), docs.count()
@@ -285,15 +287,27 @@ def gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta:
 
     schema = T.StructType([slim.schema["_id"], *T._parse_datatype_string("ids array<long>, names array<string>"), *[T.StructField(f"_{t}", T.IntegerType()) for t in targets]])
     arrow_batches(docs.sparkSession)
-    found = labelled.unionByName(rest).mapInArrow(run, schema).toArrow()
-    order = np.argsort(np.array([str(x) for x in found.column("_id").to_pylist()]), kind="stable")  # as if gathered in one order
-    return found.take(pa.array(order)).combine_chunks()
+    return labelled.unionByName(rest).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: list[str] | None = None, targets: tuple[str, ...] = ("quality", "toxic"), sample: int = SAMPLE, pool: int = POOL) -> Model:
     meta = ["lang", "source", "n_chars"] if meta is None else meta
-    found = gather(docs, labels, id_col, text_col, meta, list(targets), sample, pool)
-    column = lambda c: pa.concat_arrays(found.column(c).chunks) if found.num_rows else pa.array([], found.schema.field(c).type)
+    rows = gather(docs, labels, id_col, text_col, meta, list(targets), sample, pool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            model = fit_model(pa.Table.from_batches(held), targets)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()  # the sample meets in one task
+    return pickle.loads(found[0]["model"]) if found else Model(np.zeros(0, np.uint64), {}, {t: CoTrained(0.0) for t in targets})
+
+
+def fit_model(found: pa.Table, targets: tuple[str, ...]) -> Model:
+    order = np.argsort(np.array([str(x) for x in found.column("_id").to_pylist()]), kind="stable")  # as if gathered in one order
+    found = found.take(pa.array(order)).combine_chunks()
+    column = lambda c: pa.concat_arrays(found.column(c).chunks)
     y = {t: column(f"_{t}").cast(pa.float64()).to_numpy(zero_copy_only=False) for t in targets}
     marked = ~np.all([np.isnan(v) for v in y.values()], axis=0)
     bounds, ids = lists(column("ids"))
