@@ -17,6 +17,7 @@ by a distributed numbering and look their range up; no piece goes through the dr
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import insort
 from collections.abc import Callable, Iterator
@@ -34,6 +35,8 @@ from ._spark import arrow_batches, grouped_rank
 CAPACITY = 2048
 #: The id that ends each document.
 END_ID = 0
+#: tiktoken fails on white space runs of about a million characters; texts with runs from here on go to tokenizers.
+LONG_RUN = 100_000
 
 
 # --------------------------------------------------------------------------- the plan
@@ -194,11 +197,17 @@ def ranges(bins: list[Bins]) -> dict[str, np.ndarray]:
 # --------------------------------------------------------------------------- tokens
 
 
+def long_run(text: str) -> bool:
+    """Whether a run of white space is ``LONG_RUN`` or longer."""
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text))
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a text by the vocabulary at ``path``: a ``.json`` of the tokenizers library, or
-    the same vocabulary's ``.tiktoken`` ranks, which give the same ids several times faster.
-    Strings of special tokens are ordinary text."""
+    the same vocabulary's ``.tiktoken`` ranks, which give the same ids several times faster;
+    the few texts that tiktoken cannot take go to the ``.json`` beside it.  Strings of special
+    tokens are ordinary text."""
     import public_tokenizers
 
     if path.endswith(".tiktoken"):
@@ -206,7 +215,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda text: encoder(f"{path.removesuffix('.tiktoken')}.json")(text) if long_run(text) else fast(text)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)

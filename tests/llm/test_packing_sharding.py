@@ -101,6 +101,12 @@ def test_packing_ids_and_other_vocabulary(texts, table):
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in df.collect())
 
 
+def test_packing_long_white_space(table):
+    """Runs that tiktoken fails on, and others that it takes."""
+    docs = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "x" * 300_000), (4, "a" + "\u3000" * 99_999 + "b"), (5, "a " * 200_000)]
+    check(packing.pack_documents(table(docs)), docs)
+
+
 def test_packing_nothing(table):
     assert packing.pack_documents(table([])).count() == 0
 
