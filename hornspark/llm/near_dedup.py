@@ -15,7 +15,7 @@
 5. The components of these links are the result.
 
 A pair at exactly the threshold shares no band with probability (1 - s**ROWS)**BANDS, under
-1e-6 at 0.85; a pair that shares one is always compared in full sets.
+1e-6 at 0.8 and above; a pair that shares one is always compared in full sets.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from ._spark import arrow_batches, cut, grouped_rank, join_groups, semi_filter,
 from ._words import mix, ngrams, sub_batches, words_of
 from .components import connected_components
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 36, 5
 SKETCH = 32
-#: Equal sketch coordinates of a candidate pair at least: a pair at 0.85 has fewer with a probability under 1e-6.
-SKETCH_EQUAL = 16
+#: Equal sketch coordinates of a candidate pair at least: a pair at 0.8 has fewer with a probability under 1e-6.
+SKETCH_EQUAL = 13
 #: Pairs are listed in buckets of up to so many documents.
 SMALL_BUCKET = 16
 #: Documents of a family that one task compares with each other.
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component; all columns stay."""
     return without(docs, id_col, near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(id_col))
 

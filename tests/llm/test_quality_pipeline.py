@@ -151,3 +151,14 @@ def test_pipeline_on_awkward_tables(spark, texts, table, tmp_path):
 def test_default_near_dedup_takes_five_words(table):
     docs = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d x f")]
     assert {r.doc_id: r.n_shingles for r in near_duplicates(table(docs)).collect()} == {1: 2, 2: 2, 3: 2}
+
+
+def test_near_dedup_stage_takes_five_words_and_four_fifths(spark, texts, table):
+    w = [f"w{i}" for i in range(120)]
+    docs = [*texts, (100, " ".join(w[:100])), (101, " ".join(w))]  # 96 of 116 shingles of five words, 98 of 118 of three
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(docs), SF).collect()}
+    assert 100 in kept and 101 not in kept
+    assert kept == {r[0] for r in brute.near_groups(docs, 5, 80) if r[3]}
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    pairs = [(r.doc_id, r.text) for r in own.select("doc_id", "text").collect()]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, own, SF).collect()} == {r[0] for r in brute.near_groups(pairs, 5, 80) if r[3]}
