@@ -17,9 +17,8 @@ word's marginal is computed once for the whole corpus.
   probability is the marginal over the classes too, so no text is told its class.
 
 Words that make up a millionth of the corpus or more (so at most a million) are broadcast
-with their scores; the others meet theirs in a join, for the classes that the frequent
-words leave within ``PLAUSIBLE`` nats of the best.  What comes back to the driver has a
-row for each piece and class.
+with their scores; the others meet theirs in a join, for all classes.  What comes back to
+the driver has a row for each piece and class.
 """
 
 from __future__ import annotations
@@ -48,7 +47,6 @@ ROUNDS = 3
 DISCOUNT = 0.7
 #: Values of the class column with a model of their own at most; all others share one.
 CLASSES = 8
-PLAUSIBLE = 60.0
 #: Offset of the Zipf law of the ranks.
 ZIPF_OFFSET = 10
 #: Share of ends among tokens where there is no training text.
@@ -354,29 +352,23 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None, id_col: st
             summed = lambda x: np.bincount(mine, x, rows).astype(float)  # noqa: B023, E731  (of nothing: whole numbers)
             base = summed(np.log10(cs[where] + 1.0))
             sums = np.stack([summed(lp[where, k]) for k in range(classes)], 1) + start
-            likely = sums >= sums.max(1, keepdims=True) - PLAUSIBLE
             pair, tf = np.unique((doc * max(1, len(ids)) + place)[~hit], return_counts=True)
             bounds = pa.array(np.searchsorted(pair, np.arange(rows + 1) * max(1, len(ids))), pa.int32())
             rare = pa.ListArray.from_arrays(bounds, pa.array(signed[pair % max(1, len(ids))]))
-            of_doc, of_class = np.nonzero(likely)
-            some = pa.array(np.searchsorted(of_doc, np.arange(rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(np.bincount(mine, minlength=rows), pa.int64()), pa.array(base), rare, pa.ListArray.from_arrays(bounds, pa.array(tf, pa.int32()))]
-                + [pa.ListArray.from_arrays(some, pa.array(of_class, pa.int32())), pa.ListArray.from_arrays(some, pa.array(sums[likely]))],
-                ["id", "held_out", "n_words", "known", "base", "wid", "tf", "k", "s"],
+                [b.column("id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(np.bincount(mine, minlength=rows), pa.int64()), pa.array(base), rare, pa.ListArray.from_arrays(bounds, pa.array(tf, pa.int32())), list_column(sums)],
+                ["id", "held_out", "n_words", "known", "base", "wid", "tf", "s"],
             )
 
-    schema = T.StructType([slim.schema["id"], *T._parse_datatype_string("held_out boolean, n_words long, known long, base double, wid array<long>, tf array<int>, k array<int>, s array<double>")])
+    schema = T.StructType([slim.schema["id"], *T._parse_datatype_string("held_out boolean, n_words long, known long, base double, wid array<long>, tf array<int>, s array<double>")])
     arrow_batches(docs.sparkSession)
     scanned = table(slim.drop("cls").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scanned.select("row", "k", F.explode(F.arrays_zip("wid", "tf")).alias("r")).select("row", "k", "r.wid", "r.tf")
-    met = rare.join(scored_words(total * FREQUENT < max(n, 1)), "wid").select("row", F.posexplode(F.transform("k", lambda k: F.get("lp", k))).alias("j", "lp"), "tf", "c")
-    more = met.groupBy("row", "j").agg(F.sum(F.col("tf") * F.col("lp")).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("tf"))).alias("known"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("base"))
-    # a row for each document and class; its known words and base are the same in each
-    parts = more.groupBy("row").agg(F.collect_list(F.struct("j", "s")).alias("parts"), F.max("known").alias("known_more"), F.max("base").alias("base_more"))
-    zero, none = F.lit(0.0), F.array().cast("array<struct<j:int,s:double>>")
-    added = lambda j: F.aggregate(F.filter(F.coalesce("parts", none), lambda p: p["j"] == j), zero, lambda a, p: a + p["s"])
-    joined = scanned.drop("wid", "tf").join(parts, "row", "left").withColumn("v", F.transform("s", lambda s, j: s + added(j)))
+    rare = scanned.select("row", F.explode(F.arrays_zip("wid", "tf")).alias("r")).select("row", "r.wid", "r.tf")
+    met = rare.join(scored_words(total * FREQUENT < max(n, 1)), "wid")
+    sums = F.array(*[F.sum(F.col("tf") * F.get("lp", F.lit(k))) for k in range(classes)])
+    parts = met.groupBy("row").agg(sums.alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf"))).alias("known_more"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("base_more"))
+    zero = F.lit(0.0)
+    joined = scanned.drop("wid", "tf").join(parts, "row", "left").withColumn("v", F.transform("s", lambda s, k: s + F.coalesce(F.get("more", k), zero)))
     best = F.array_max("v")
     marginal = best + F.log(F.aggregate("v", zero, lambda a, x: a + F.exp(x - best)))
     tokens = F.col("n_words") + 1

@@ -93,3 +93,16 @@ def test_nulls_and_repeats(table):
     got = lm.score(table(docs), F.lit(False)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in got) == [(0, 3, 11), (1, 1, 11), (1, 1, 11), (3, 3, 11), (3, 3, 11)]
     assert lm.score(table(docs), F.lit(None).cast("boolean")).filter("held_out").count() == 0
+
+
+def test_rare_words_outweigh_the_frequent_ones(spark, monkeypatch):
+    """Frequent words of one class and rare words of another: no class is left out before both are counted."""
+    rare = [f"wort{i}" for i in range(200)]
+    docs = [(i, "the " * 50, "en") for i in range(40)] + [(100 + i, " ".join(rare[i % 4 * 50 : i % 4 * 50 + 50]), "de") for i in range(40)]
+    docs.append((-1, "the " * 40 + " ".join(rare[:60]), "en"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = []
+    for frequent in (20, 1_000_000):  # the rare words are joined, or all words are frequent
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        got.append({r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 0).collect()})
+    assert got[0] == pytest.approx(got[1])
