@@ -86,6 +86,57 @@ def test_features():
     assert set(ids[bounds[3] : bounds[4]]) & set(ids[bounds[0] : bounds[1]])
 
 
+def test_training_over_tables_is_co_training(spark, table):
+    """The distributed rounds against the same rounds in memory, over all rows as the pool."""
+    docs, labels, _ = made(900, seed=3)
+    docs += [(docs[5][0], docs[5][1]), (None, "word1 insult"), (5000, None), (5001, "")]
+    model, compact = quality.train_on(table(docs, 5), label_table(spark, labels), "doc_id", "text", ["lang", "source", "n_chars"], ["quality", "toxic"], 10**6)
+    rows_ = compact.filter("_id IS NOT NULL").orderBy(F.desc("_in"), "tie", "row").collect()
+    assert len(rows_) == len(docs) - 1 and sum(r._in for r in rows_) >= len(labels)
+    xs = []
+    for name, known in zip(("text", "meta"), model.tables, strict=True):
+        own = [list(r[name]) for r in rows_]
+        xs.append(quality.Rows(np.array([x for o in own for x in o], np.int64), np.append(0, np.cumsum([len(o) for o in own])), len(known)))
+    handed = 0
+    for k, t in enumerate(("quality", "toxic")):
+        y = np.array([float(r[f"_{t}"] > 0) for r in rows_ if r._in])
+        plain = quality.co_train(xs, y)
+        assert plain.prior == pytest.approx(model.targets[t].prior)
+        for a, b in zip(plain.views, model.targets[t].views, strict=True):
+            assert np.allclose(a.weights, b.weights, atol=1e-6) and (a.weights != 0).any()
+            assert (a.intercept, a.slope, a.shift) == pytest.approx((b.intercept, b.slope, b.shift), abs=1e-6)
+        alone = quality.fit_view(xs[0].take(np.arange(len(y))), y, len(y))
+        handed += not np.allclose(alone.weights, plain.views[0].weights) or not np.allclose(quality.fit_view(xs[1].take(np.arange(len(y))), y, len(y)).weights, plain.views[1].weights)
+    assert handed  # pseudo-labels did change a view
+
+
+def test_fit_is_the_optimum():
+    """The gradient of the penalised loss, in plain Python, is zero at the fit, and Platt's is too."""
+    rng = random.Random(2)
+    own = [sorted(rng.sample(range(12), 3)) for _ in range(200)]
+    y = np.array([float((0 in o) != (rng.random() < 0.1)) for o in own])
+    w, b = quality.fit_logistic(quality.Rows(np.array([c for o in own for c in o]), np.arange(201) * 3, 12), y)
+    p = [1 / (1 + np.exp(-(b + sum(w[c] for c in o)))) for o in own]
+    assert sum(q - v for q, v in zip(p, y)) == pytest.approx(0, abs=1e-3)
+    for c in range(12):
+        assert sum(q - v for q, v, o in zip(p, y, own) if c in o) + quality.RIDGE * w[c] == pytest.approx(0, abs=1e-3)
+    z = np.array([b + sum(w[c] for c in o) for o in own])
+    slope, shift = quality.fit_platt(z, y)
+    t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    r = 1 / (1 + np.exp(-(slope * z + shift))) - t
+    assert r.sum() == pytest.approx(0, abs=1e-2) and (r * z).sum() == pytest.approx(0, abs=1e-2)
+
+
+def test_every_view_has_features(spark):
+    """Also where nothing tells at one in a million, and on the smallest tables."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert all((v.weights != 0).any() for c in model.targets.values() for v in c.views) and all(len(c.views) == 2 for c in model.targets.values())
+    bad = {r.doc_id for r in labels.filter("quality = 0 OR toxic = 1").collect()}
+    rejected = {r.doc_id for r in quality.classify(docs, model).filter("rejected").join(labels, "doc_id").collect()}
+    assert len(rejected & bad) >= len(bad) // 2 and len(rejected - bad) <= 3
+
+
 SF = "/root/testdata/sf0.001"
 
 
