@@ -17,6 +17,8 @@ by a distributed numbering and look their range up; no piece goes through the dr
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from bisect import insort
@@ -203,27 +205,40 @@ def long_run(text: str) -> bool:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text by the vocabulary at ``path``: a ``.json`` of the tokenizers library, or
-    the same vocabulary's ``.tiktoken`` ranks, which give the same ids several times faster;
-    the few texts that tiktoken cannot take go to the ``.json`` beside it.  Strings of special
-    tokens are ordinary text."""
+def encoder(path: str, special_as_text: bool = False) -> Callable[[str], list[int]]:
+    """Ids of a text by the vocabulary at ``path``: a ``.json`` of the tokenizers library, as
+    ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them, or the
+    same vocabulary's ``.tiktoken`` ranks, which give the same ids several times faster; the
+    few texts that tiktoken cannot take go to the ``.json`` beside it.  The strings of special
+    tokens in a text are these tokens, or with ``special_as_text`` ordinary text."""
     import public_tokenizers
 
     if path.endswith(".tiktoken"):
         import tiktoken
 
+        beside = f"{path.removesuffix('.tiktoken')}.json"
+        special = {} if special_as_text else special_tokens(beside)
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda text: encoder(f"{path.removesuffix('.tiktoken')}.json")(text) if long_run(text) else fast(text)
+        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        plain = (lambda text: fast.encode(text, allowed_special="all")) if special else fast.encode_ordinary
+        return lambda text: encoder(beside, special_as_text)(text) if long_run(text) else plain(text)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The special tokens that a ``.json`` vocabulary names; none where there is no such file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 def cut_points(length: int, capacity: int) -> list[int]:
     """Starts of a document's pieces: all but the first are full."""
     if length <= capacity:
@@ -232,7 +247,7 @@ def cut_points(length: int, capacity: int) -> list[int]:
     return ([0] if first else []) + list(range(first, length, capacity))
 
 
-def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (and ids) of every piece.  Null text is empty, so
     its only token is the end."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -240,7 +255,7 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
     schema = T.StructType([*fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special_as_text)
         for b in batches:
             rows, out = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -285,13 +300,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Every row of ``docs`` is a document of its own, repeated ones too; a null text is
     empty and takes one token; a text longer than a sequence is cut, first piece shorter.
+    The strings of special tokens in a text are these tokens, unless ``special_as_text``.
     An empty table gives no rows; other columns are not looked at."""
-    pieces = tokenize(docs, vocabulary or vocabulary_path(), capacity, id_col, text_col, with_ids)
+    pieces = tokenize(docs, vocabulary or vocabulary_path(), capacity, id_col, text_col, with_ids, special_as_text)
     packed = pack(pieces, ["id", "piece", "start", "ids_crc32"], capacity)
     return packed.withColumnRenamed("id", id_col).select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 

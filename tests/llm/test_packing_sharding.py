@@ -65,9 +65,11 @@ def test_cut_points():
     assert packing.cut_points(10, 10) == [0] and packing.cut_points(20, 10) == [0, 10] and packing.cut_points(23, 10) == [0, 3, 13]
 
 
-def check(df, docs, capacity=2048):
+def check(df, docs, capacity=2048, special_as_text=False):
+    """Against the tokenizer as it comes from its file, or told to take special tokens' strings as text."""
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     got = df.collect()
     ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for _, x in docs]
     expected = collections.Counter()
@@ -101,6 +103,15 @@ def test_packing_ids_and_other_vocabulary(texts, table):
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in df.collect())
 
 
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+def test_packing_special_tokens(table, vocabulary):
+    docs = [(1, "<|endoftext|> x"), (2, "a <|endoftext|>"), (3, "x  <|endoftext|><|endoftext|>\n\ny <|endoftext|"), (4, "a" + " " * 120_000 + "<|endoftext|>  b")]
+    got = packing.pack_documents(table(docs), vocabulary=P.path(vocabulary), with_ids=True)
+    check(got, docs)
+    assert got.filter("doc_id = 1").first().ids == [50256, 2124, 0]
+    check(packing.pack_documents(table(docs), vocabulary=P.path(vocabulary), special_as_text=True), docs, special_as_text=True)
+
+
 def test_packing_long_white_space(table):
     """Runs that tiktoken fails on, and others that it takes."""
     docs = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "x" * 300_000), (4, "a" + "\u3000" * 99_999 + "b"), (5, "a " * 200_000)]
