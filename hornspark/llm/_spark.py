@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ ARROW_ROWS = 256
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share.  A temporary one stands in for it only in local mode; on
+    a cluster without a configured folder this raises."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        if not told and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="ckpt-"))
     return told or sc.getCheckpointDir()
 

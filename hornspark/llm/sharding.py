@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import grouped_rank
+from ._spark import fresh, grouped_rank
 
 #: The multiplier of the published generator.
 JUMP_MULTIPLIER = 2862933555777941757
@@ -39,18 +39,19 @@ def with_shards(df: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
 
     The 64-bit key is Spark's xxhash64 of the column, so any type will do; all null keys
     share a shard.  Only the hash goes to Python."""
-    hashed = df.withColumn("_key", F.xxhash64(key))
+    (own,) = fresh(df, "_key")
+    hashed = df.withColumn(own, F.xxhash64(key))
     schema = hashed.schema
     for name in counts:
         schema = T.StructType([*schema, T.StructField(name, T.IntegerType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("_key").to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = b.column(own).to_numpy(zero_copy_only=False).view(np.uint64)
             more = [pa.array(jump_hash(keys, n)) for n in counts.values()]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *counts])
 
-    return hashed.mapInArrow(place, schema).drop("_key")
+    return hashed.mapInArrow(place, schema).drop(own)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +61,35 @@ def test_several_records_in_a_member():
     assert ids(warc.salvage(warc.member(r[0] + r[1]) + warc.member(r[2]))) == list("012")
 
 
+def test_a_bad_record_of_a_member_costs_only_itself():
+    r = records(5)
+    bad = r[2].replace(b"CCCC", b"CCXC", 1)  # the member is sound, a block digest is not
+    found = list(warc.salvage(warc.member(b"".join([r[0], r[1], bad, r[3], r[4]]))))
+    assert ids(found) == ["0", "1", "gap:block digest", "3", "4"]
+    gap = found[2]
+    assert (gap.inner_start, gap.inner_length) == (len(r[0]) + len(r[1]), len(bad)) and {f.reason for f in found if f.headers} == {None}
+    assert ids(warc.salvage(warc.member(b"junk" + r[1]))) == ["gap:version line", "1"]
+
+
+def test_records_before_the_damage_of_a_member_are_kept():
+    r = [warc.record_bytes(str(i), "u", warc.base32_sha1(p), len(p), p, None, "2024-01-01T00:00:00Z") for i, p in enumerate(random.Random(i).randbytes(5000) for i in range(8))]
+    whole, after = warc.member(b"".join(r)), warc.member(records(1)[0])
+    cut = list(warc.salvage(whole[:23_000]))
+    kept = [x for x in ids(cut) if x[0] != "g"]
+    assert kept == list("0123") and all("damaged member" in f.reason for f in cut if f.headers)
+    gap = next(f for f in cut if f.headers is None)
+    assert (gap.start, gap.length, gap.inner_start) == (0, 23_000, sum(map(len, r[:4])))
+    for at in (9_000, 26_000, len(whole) - 4):
+        data = bytearray(whole + after)
+        data[at] ^= 0xFF
+        got = list(warc.salvage(bytes(data)))
+        names = [x for x in ids(got) if x[0] != "g"]
+        assert names[-1] == "0" and got[-1].reason is None  # the next member, untouched
+        assert names[:-1] == [str(i) for i in range(8) if str(i) in names[:-1]] and len(names) >= 2 + (at - 6000) // 6000
+        assert all(f.block == warc.parse_record(r[int(x)], 0)[1] for f, x in zip(got[:-1], ids(got)) if f.headers)
+        assert any(f.headers is None for f in got)
+
+
 def test_both_kinds_in_one_file():
     r = records(3)
     assert ids(warc.salvage(warc.member(r[0]) + r[1] + warc.member(r[2]))) == list("012")
@@ -106,6 +138,63 @@ def test_damaged_archives_are_read_on(spark, tmp_path):
     assert sum(r.kind == "gap" for r in got) == 1 and sum(r.kind == "record" for r in got) >= 28
 
 
+def test_gaps_are_logged_and_losses_raise(spark, tmp_path):
+    pages = [(i, "u", f"page {i} " * 20) for i in range(30)]
+    manifest, _ = written(spark, tmp_path, pages)
+    uri = f"file://{tmp_path}/w"
+    assert warc.checked(spark, uri, manifest).count() == 30
+    with open(re.sub("^file:/+", "/", sorted(r.path for r in manifest.collect())[0]), "r+b") as f:
+        f.seek(700)
+        f.write(b"\0\0\0\0")
+    with pytest.raises(RuntimeError, match="30 records written"):
+        warc.checked(spark, uri, manifest)
+    log = spark.read.parquet(f"{uri}-gaps").collect()
+    assert len(log) == 1 and log[0].length > 0 and log[0].reason
+
+
+def test_only_archives_of_the_manifest_count(spark, tmp_path):
+    """What an attempt that does not count left behind is not read, and a commit may run again."""
+    manifest, read = written(spark, tmp_path, PAGES)
+    (tmp_path / "w" / "_part-000000-00000-999.warc.gz").write_bytes(warc.member(records(2)[1]))
+    names = manifest.select(F.element_at(F.split("path", "/"), -1).alias("name"), "records", "bytes")
+    again = warc.commit(names, f"file://{tmp_path}/w")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect())) and read.count() == len(PAGES)
+    with pytest.raises(Exception, match="(?i)no such file|not exist|failed"):
+        warc.commit(spark.createDataFrame([("nothing.warc.gz", 1, 1)], "name string, records long, bytes long"), f"file://{tmp_path}/w")
+
+
+RETRY = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession, functions as F
+from hornspark.llm import warc
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+@F.udf("string")
+def fails_late(i, text):
+    if TaskContext.get().attemptNumber() == 0 and i == {last}:
+        raise ValueError("lost")
+    return text
+
+rows = spark.createDataFrame([(str(i), "u", f"text {{i}} " * 50) for i in range({last} + 1)], "id string, url string, html string").coalesce(1)
+rows = rows.select("id", "url", F.unhex(F.sha1("html")).alias("digest"), F.length("html").cast("long").alias("n_bytes"), fails_late(F.col("id").cast("int"), "html").cast("binary").alias("payload"), F.lit(None).cast("string").alias("refers_to"))
+manifest = warc.write_records(rows, {uri!r}, 3000, "2024-01-01T00:00:00Z")
+print(sorted(int(r.record_id) for r in warc.checked(spark, {uri!r}, manifest).collect()) == list(range({last} + 1)))
+"""
+
+
+def test_a_retried_task_neither_doubles_nor_loses(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = RETRY.format(repo=repo, uri=f"file://{tmp_path}/w", last=299)
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([repo, os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=env)
+    assert done.stdout.split() == ["True"], done.stderr[-2000:]
+    left = [p.name for p in (tmp_path / "w").iterdir() if p.name.startswith("_")]
+    assert left  # the first attempt had written archives
+
+
 def test_no_pages(spark, tmp_path):
     manifest, _ = written(spark, tmp_path, [])
     assert manifest.count() == 0
