@@ -42,7 +42,7 @@ FREQUENT = 1_000_000
 #: Draws from the given scores that a fit starts from, in pieces.
 PRIOR = 1000.0
 #: Rounds of EM.
-ROUNDS = 3
+ROUNDS = 4
 #: Taken off every count for what was not seen.
 DISCOUNT = 0.7
 #: Values of the class column with a model of their own at most; all others share one.

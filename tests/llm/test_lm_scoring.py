@@ -106,3 +106,86 @@ def test_rare_words_outweigh_the_frequent_ones(spark, monkeypatch):
         monkeypatch.setattr(lm, "FREQUENT", frequent)
         got.append({r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 0).collect()})
     assert got[0] == pytest.approx(got[1])
+
+
+def plain_model(docs, held):
+    """The model of (id, text, class) rows in plain Python: EM over all segmentations, word arcs, mixture."""
+    pieces = lm.vocabulary(lm.vocabulary_path())
+    ids = {p: i for i, p in enumerate(pieces)}
+    longest = max(map(len, pieces))
+    given = lm.given_weights(len(pieces))
+
+    def arcs(word):
+        return [[(i, ids[word[i:j]]) for i in range(max(0, j - longest), j) if word[i:j] in ids] for j in range(1, len(word) + 1)]
+
+    def forward(word, p):
+        a = [1.0]
+        for found in arcs(word):
+            a.append(math.fsum(a[i] * p[k] for i, k in found))
+        return a
+
+    def probabilities(weights):
+        first = math.fsum(w for w, x in zip(weights, pieces) if x.startswith(b" "))
+        rest = math.fsum(weights) - first
+        return [w / (first if x.startswith(b" ") else rest) for w, x in zip(weights, pieces)] + [weights[-1] / rest]
+
+    tokens = {d: [b" " + w.encode() for w in brute.ws_words(brute.folded(t))] for d, t, _ in docs}
+    models = {}
+    for cls in {c for d, _, c in docs if not held(d)}:
+        own = [d for d, _, c in docs if c == cls and not held(d)]
+        counts = {}
+        for d in own:
+            for w in tokens[d]:
+                counts[w] = counts.get(w, 0) + 1
+        p = probabilities(given.tolist())
+        for _ in range(lm.ROUNDS if counts else 0):
+            weights = [lm.PRIOR * g for g in given]
+            for w in counts:
+                a, found = forward(w, p), arcs(w)
+                b = [0.0] * len(w) + [1.0]
+                for j in range(len(w), 0, -1):
+                    for i, k in found[j - 1]:
+                        b[i] += p[k] * b[j]
+                for j in range(1, len(w) + 1):
+                    for i, k in found[j - 1]:
+                        weights[k] += a[i] * p[k] * b[j] / a[-1]
+            weights[-1] += len(counts)
+            p = probabilities(weights)
+        n = sum(counts.values()) + len(own)
+        models[cls] = (len(own), n, counts, p)
+    docs_seen = sum(m[0] for m in models.values())
+    out = {}
+    for d, own in tokens.items():
+        logs = []
+        for n_docs, n, counts, p in models.values():
+            share = lm.DISCOUNT * (len(counts) + 1) / n
+            log = math.log(n_docs / docs_seen) + math.log((n_docs - lm.DISCOUNT) / n)
+            for w in own:
+                log += math.log(max(counts.get(w, 0) - lm.DISCOUNT, 0) / n + share * forward(w, p)[-1] * p[-1])
+            logs.append(log)
+        best = max(logs)
+        out[d] = (best + math.log(sum(math.exp(x - best) for x in logs))) / math.log(10)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1, 20, 10**6])
+def test_score_is_the_plain_mixture(spark, monkeypatch, frequent):
+    """Three languages, words that several share and words that none has, against plain Python."""
+    import random
+
+    rng = random.Random(11)
+    heads = {"en": ["the", "ring", "thing", "straße"], "de": ["der", "ring", "straße", "unding"], "fr": ["le", "chose", "ring", "é"]}
+    docs = []
+    for d in range(60):
+        cls = rng.choice(sorted(heads))
+        other = rng.choice(sorted(heads)) if rng.random() < 0.3 else cls
+        docs.append((d, " ".join(rng.choice(heads[rng.choice([cls, other])]) + rng.choice(["", "", "s", "en", "ing", str(rng.randrange(9))]) for _ in range(rng.randrange(12))), cls))
+    docs += [(60, None, "en"), (61, "The RING  theses", "de"), (62, "unheard-of wörter", "fr")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    held = lambda d: d % 5 == 2
+    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") % 5 == 2).collect()}
+    expected = plain_model(docs, held)
+    assert len({c for d, _, c in docs if not held(d)}) == 3
+    for d, score in expected.items():
+        assert got[d] == pytest.approx(score, rel=1e-9), d
