@@ -1,35 +1,37 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame
 functions only.
 
-1. One pass over the corpus counts the occurrences of every benchmark term.
-2. Each benchmark window is looked up by its rarest term; a window with a term that the
-   corpus lacks cannot occur.  Only postings of these rarest terms are stored: term,
-   position, and the words next to it, so that the other terms' offset-adjusted lists
-   are intersected inside the posting instead of by shuffling the common terms' lists.
-3. Postings meet the windows by term; a posting at position p of a window whose rarest
-   term has offset o proposes the start p - o, and it is a match if the neighbouring
-   words equal the window's.
-
-The benchmark goes through in blocks of a bounded number of words, so what is broadcast
-(terms and windows of one block) has a fixed bound whatever the benchmark's size.
+1. The index.  One pass over the corpus stores the postings (term, document row, position)
+   of the terms that are asked for, without a shuffle: each task writes the index of its own
+   documents, sorted by term, so that a term's list is one stretch of each part.
+2. The terms' counts, from the lists alone, give each window's rarest terms; a window with a
+   term that the corpus lacks cannot occur.
+3. The list of a window's rarest term, less the term's offset in the window, proposes starts.
+   They are intersected with the second rarest term's list, offset-adjusted, and what is left
+   with all the others'.  Only lists' entries of documents that still have a start are
+   shuffled, by document and position, so that no document's are in one task.
+4. Proximity: the same lists; a stretch is held by the last place of each term before its end.
+
+Terms and windows are broadcast up to ``BLOCK_WORDS`` words of benchmark; a larger benchmark
+takes the same joins by shuffle.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, without
+from ._spark import cut, semi_filter, table, without
 
 #: Everything that separates words: all of ASCII but digits and small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
-#: Benchmark words of one block at most (a single longer item is a block of its own).
-BLOCK_WORDS = 20_000
+#: Words of the windows up to which terms and windows are broadcast: tens of MB.
+BLOCK_WORDS = 2_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -41,13 +43,8 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def one_of(terms: list[str]) -> str:
-    """SQL list of literals.  Words hold no ASCII but digits and letters: nothing to escape."""
-    return ", ".join(f"'{t}'" for t in terms) or "NULL"
-
-
 def benchmark_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """Distinct windows: words, the items they stand in, the block."""
+    """Distinct windows: words, and the items they stand in."""
     n = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
     return (
@@ -58,61 +55,98 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str, window: in
     )
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
-    found = F.expr(f"filter(words, w -> w IN ({one_of(terms)}))")
-    return docs.select(words_of(F.col(text_col)).alias("words")).select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+# --------------------------------------------------------------------------- the index
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """windows (win, words) with their rarest term and its offset; without those that hold
-    a term which the corpus lacks."""
-    each = windows.select("win", F.posexplode("words").alias("off", "term")).join(F.broadcast(counts), "term", "left")
-    best = each.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")).alias("best"))
-    return windows.join(best.filter("best.n > 0"), "win").select("win", "words", F.col("best.term").alias("term"), F.col("best.off").alias("off"))
+@dataclass
+class Index:
+    """docs (row, id, n_words), postings (row, pos, tid) and terms (term, tid, n), stored in the
+    shared folder; ``few``: the terms may be broadcast."""
 
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    few: bool
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, terms: list[str], radius: int) -> DataFrame:
-    """The stored index, a row per document: ``row`` (unique), id, n_words and the postings
-    (term, pos, first, near) of ``terms``; ``near`` are the words from position ``first``
-    on, ``radius`` to either side."""
-    posting = f"""array_compact(transform(words, (w, i) -> IF(w IN ({one_of(terms)}),
-        named_struct('term', w, 'pos', i, 'first', greatest(i - {radius}, 0),
-                     'near', slice(words, greatest(i - {radius}, 0) + 1, {2 * radius + 1})), NULL)))"""
-    return cut(
-        docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).select(
-            F.monotonically_increasing_id().alias("row"), "id", F.size("words").cast("long").alias("n_words"), F.expr(posting).alias("postings")
-        )
-    )
+    def hint(self, small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if self.few else small
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(row, start, end, win) of every occurrence of every window (win, words, term, off)."""
-    n = F.size("words")
-    at = F.col("start") - F.col("p.first")
-    return (
-        index.select("row", F.explode("postings").alias("p"))
-        .join(F.broadcast(windows), F.col("p.term") == F.col("term"))
-        .withColumn("start", F.col("p.pos") - F.col("off"))
-        .filter((at >= 0) & (F.slice("p.near", F.greatest(at + 1, F.lit(1)), n) == F.col("words")))
-        .select("row", "start", (F.col("start") + n).alias("end"), "win")
-    )
+def build_index(docs: DataFrame, terms: DataFrame, few: bool, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Index the occurrences of ``terms`` (term, distinct) in ``docs``.
+
+    Every row of ``docs`` is a document.  The first word of each is stored too, and carries the
+    id and the number of words, so that one table, written in one pass, has it all."""
+    numbered = cut(terms.withColumn("tid", F.monotonically_increasing_id()))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    each = words.select("row", "id", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "term"))
+    marked = each.join(F.broadcast(numbered) if few else numbered, "term", "left")
+    first = F.coalesce("pos", F.lit(0)) == 0
+    kept = marked.filter(F.col("tid").isNotNull() | first)
+    stored = table(kept.select("row", "pos", "tid", F.when(first, F.col("id")).alias("id"), F.when(first, F.col("n_words")).alias("n_words")).sortWithinPartitions("tid"))
+    postings = stored.filter("tid IS NOT NULL").select("row", "pos", "tid")
+    counts = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    return Index(stored.filter("n_words IS NOT NULL").select("row", "id", "n_words"), postings, cut(numbered.join(counts, "tid", "left").select("term", "tid", F.coalesce("n", F.lit(0)).alias("n"))), few)
+
+
+def by_rarity(index: Index, windows: DataFrame) -> DataFrame:
+    """(win, terms): the terms (n, off, tid) of each window (win, words), the rarest first; without the
+    windows that hold a term which the corpus lacks."""
+    each = windows.select("win", F.posexplode("words").alias("off", "term")).join(index.hint(index.terms), "term")
+    ranked = each.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("n", "off", "tid"))).alias("terms"))
+    return ranked.filter(F.col("terms")[0]["n"] > 0)
+
+
+def starts_at(index: Index, needs: DataFrame) -> DataFrame:
+    """(row, start, win): where the lists of ``needs`` (win, off, tid), one a window, put its start."""
+    start = (F.col("pos") - F.col("off")).alias("start")
+    return index.postings.join(index.hint(needs), "tid").select("row", start, "win").filter("start >= 0")
+
+
+def intersect(index: Index, found: DataFrame, needs: DataFrame) -> DataFrame:
+    """Those of ``found`` (row, start, win) at which every one of the window's ``needs`` (win, off, tid)
+    has a posting at its offset; windows without needs stay."""
+    found, needs = cut(found), cut(needs)
+    wanted = index.hint(needs.groupBy("win").agg(F.count(F.lit(1)).alias("k")))
+    rows = cut(found.select("row").distinct())
+    asked = found.join(index.hint(needs), "win").select("row", "start", "win", (F.col("start") + F.col("off")).alias("pos"), "tid")
+    lists = index.postings.join(index.hint(needs.select("tid").distinct()), "tid", "left_semi")
+    lists = semi_filter(lists, F.col("row"), rows, F.col("row"), rows.count()).select("row", "pos", "tid")
+    met = asked.join(lists, ["row", "pos", "tid"], "left_semi").groupBy("row", "start", "win").agg(F.count(F.lit(1)).alias("met"))
+    whole = met.join(wanted, "win").filter(F.col("met") == F.col("k")).select("row", "start", "win")
+    return whole.unionByName(found.join(wanted, "win", "left_anti"))
+
+
+def phrase_matches(index: Index, windows: DataFrame) -> DataFrame:
+    """(row, start, win) of every occurrence of every window (win, words)."""
+    ranked = cut(by_rarity(index, windows))
+    kth = lambda k: ranked.filter(F.size("terms") > k).select("win", F.col("terms")[k]["off"].alias("off"), F.col("terms")[k]["tid"].alias("tid"))
+    rest = ranked.select("win", F.explode(F.slice("terms", F.lit(3), F.greatest(F.size("terms") - 2, F.lit(0)))).alias("t")).select("win", "t.off", "t.tid")
+    return intersect(index, intersect(index, starts_at(index, kth(0)), kth(1)), rest)
 
 
 def proximity_matches(docs: DataFrame, terms: list[str], slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end) of the shortest stretches of at most ``slop`` words that start at an
-    occurrence of the rarest of ``terms`` or reach it, and hold all of ``terms``."""
-    terms = sorted({t for t in terms if t})
-    counts = {r["term"]: r["n"] for r in term_counts(docs, text_col, terms).collect()}  # a row for each term at most
-    rare = min(terms, key=lambda t: (counts.get(t, 0), t))
-    index = build_index(docs, id_col, text_col, [rare], slop - 1)
-    p = index.select("id", F.explode("postings").alias("p"))
-    cut_of = f"slice(p.near, i + 1, {slop})"
-    holds = " AND ".join(f"array_contains({cut_of}, '{t}')" for t in terms)
-    spans = F.expr(f"filter(transform(sequence(0, size(p.near) - 1), i -> IF({holds}, i, NULL)), i -> i IS NOT NULL)")
-    reach = "greatest(" + ", ".join(f"array_position(slice(p.near, s + 1, {slop}), '{t}')" for t in terms) + ")" if len(terms) > 1 else f"array_position(slice(p.near, s + 1, {slop}), '{terms[0]}')"
-    begins = "p.near[s] IN (" + one_of(terms) + ")"
-    found = p.select("id", "p", F.explode(spans).alias("s")).filter(F.expr(begins))
-    return found.select(F.col("id").alias(id_col), (F.col("p.first") + F.col("s")).alias("start"), (F.col("p.first") + F.col("s") + F.expr(reach)).cast("int").alias("end")).distinct()
+    """(id, start, end): the shortest stretches of at most ``slop`` words that hold all of ``terms``
+    (no shorter one within them), by word positions, the end exclusive.
+
+    Terms are lower-cased (A-Z) and split as texts are, so each is a word.  Null and empty
+    texts, and an empty list of terms, match nothing.  Repeated rows match each by itself;
+    other columns are not looked at."""
+    spark = docs.sparkSession
+    wanted = sorted({w for t in terms for w in re.split(SEPARATORS, t.translate(str.maketrans(UPPER, LOWER))) if w})
+    index = build_index(docs, spark.createDataFrame([(w,) for w in wanted], "term string"), True, id_col, text_col)
+    tids = [r["tid"] for r in index.terms.orderBy("n", "term").collect()]  # as many as terms; the rarest first
+    lists = index.postings.select("row", "pos", "tid")
+    for tid in tids if len(tids) > 1 else []:
+        rows = cut(lists.filter(F.col("tid") == tid).select("row").distinct())
+        lists = semi_filter(lists, F.col("row"), rows, F.col("row"), rows.count()).select("row", "pos", "tid")
+    so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = [F.last(F.when(F.col("tid") == tid, F.col("pos")), ignorenulls=True).over(so_far) for tid in tids]
+    start = F.when(F.lit(bool(tids)), F.array_min(F.array(*latest)) if tids else F.lit(None).cast("int"))
+    missing = F.exists(F.array(*latest), lambda x: x.isNull()) if tids else F.lit(True)
+    spans = lists.select("row", "pos", start.alias("start"), missing.alias("missing")).filter(~F.col("missing") & (F.col("pos") - F.col("start") < slop))
+    least = spans.groupBy("row", "start").agg((F.min("pos") + 1).alias("end"))
+    return least.join(index.docs, "row").select(F.col("id").alias(id_col), "start", "end")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -122,23 +156,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     an item shorter than a window is one window.  Items with the same id are one item;
     repeated documents are judged each by itself.  Without items all is clean.  Other
     columns are not looked at, and null ids stay null."""
-    all_windows = cut(benchmark_windows(items, item_col, item_text_col, window))
-    sizes = all_windows.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(sizes / window / block_words))
-    hits, counted = [], None
-    for b in range(blocks):
-        mine = all_windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
-        own = mine.select("words").distinct().withColumn("win", F.sha2(F.array_join("words", " "), 256))
-        terms = [r["t"] for r in mine.select(F.explode("words").alias("t")).distinct().collect()]  # one block's
-        windows = cut(rarest_terms(own, term_counts(docs, text_col, sorted(terms))))
-        rare = sorted(r["term"] for r in windows.select("term").distinct().collect())
-        index = build_index(docs, id_col, text_col, rare, window - 1)
-        counted = index if counted is None else counted
-        hits.append(index.select("id", "row", "n_words", "postings").transform(lambda i, w=windows: phrase_matches(i, w)))
-    matches = reduce(DataFrame.unionByName, hits)
-    by_row = cut(matches.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("win").alias("wins")))
-    names = all_windows.select(F.sha2(F.array_join("words", " "), 256).alias("win"), "item")
-    found = by_row.select("row", F.explode("wins").alias("win")).join(names, "win").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = cut(benchmark_windows(items, item_col, item_text_col, window))
+    windows = cut(named.select("words").distinct().withColumn("win", F.monotonically_increasing_id()))
+    few = (windows.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0) <= block_words
+    index = build_index(docs, windows.select(F.explode("words").alias("term")).distinct(), few, id_col, text_col)
+    lengths = windows.select("win", F.size("words").alias("n"))
+    spans = phrase_matches(index, windows).join(index.hint(lengths), "win").select("row", "start", (F.col("start") + F.col("n")).alias("end"), "win")
+    by_row = cut(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("win").alias("wins")))
+    names = named.join(index.hint(windows), "words").select("win", "item")
+    found = by_row.select("row", F.explode("wins").alias("win")).join(index.hint(names), "win").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
@@ -152,8 +178,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     none = F.array().cast("array<string>")
     return (
-        counted.select("row", "id", "n_words")
-        .join(per_row, "row", "left")
+        index.docs.join(per_row, "row", "left")
         .select(
             F.col("id").alias(id_col),
             "n_words",
@@ -166,7 +191,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones; all columns stay."""
+    """``docs`` without the contaminated ones; all columns stay.
+
+    A contaminated id goes with all its rows; rows with a null id stay.  Null and empty texts
+    are clean, very long ones are read whole, and an empty table stays empty."""
     return without(docs, id_col, contamination(docs, items, id_col, text_col).filter("contaminated").select(id_col))
 
 

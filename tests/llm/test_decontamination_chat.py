@@ -61,6 +61,37 @@ def test_proximity(table):
     assert {d for d, _, _ in got} == {1, 2, 5}
 
 
+def nearest(words, terms, slop):
+    """Stretches that hold all terms and no shorter one that does, in plain Python."""
+    holds = {(i, j) for i in range(len(words)) for j in range(i + 1, min(len(words), i + slop) + 1) if set(terms) <= set(words[i:j])}
+    return {(i, j) for i, j in holds if not any((a, b) != (i, j) and i <= a and b <= j for a, b in holds)}
+
+
+@pytest.mark.parametrize("terms", [["red", "blue"], ["a"], ["the", "of", "ring"], ["RED"], ["o'neil"], ["nowhere", "the"]])
+def test_proximity_is_exact(texts, table, terms):
+    docs = [*texts, (200, "red x x blue x red blue"), (201, "O'Neil o x neil o"), (202, "red"), (202, "red"), (None, "blue red")]
+    words = sorted({w for t in terms for w in brute.alnum_words(t)})
+    expected = sorted(((d, i, j) for d, t in docs for i, j in nearest(brute.alnum_words(t), words, 5)), key=str)
+    df = decontamination.proximity_matches(table(docs), terms, slop=5)
+    assert rows(df) == expected
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_proximity_of_nothing(texts, table):
+    assert decontamination.proximity_matches(table(texts), [], slop=5).count() == 0
+    assert decontamination.proximity_matches(table(texts), ["'", ""], slop=5).count() == 0
+    assert decontamination.proximity_matches(table([]), ["a"], slop=5).count() == 0
+
+
+def test_index_holds_the_lists(spark, table):
+    index = decontamination.build_index(table([(1, "b a b"), (2, None), (3, "c A")]), spark.createDataFrame([("a",), ("b",), ("zz",)], "term string"), True)
+    assert sorted((r.id, r.n_words) for r in index.docs.collect()) == [(1, 3), (2, 0), (3, 2)]
+    got = index.postings.join(index.terms, "tid").join(index.docs, "row").select("term", "id", "pos")
+    assert rows(got) == [("a", 1, 1), ("a", 3, 1), ("b", 1, 0), ("b", 1, 2)]
+    assert sorted((r.term, r.n) for r in index.terms.collect()) == [("a", 2), ("b", 2), ("zz", 0)]
+
+
 def rendered(turns):
     out = []
     convs = collections.defaultdict(list)
