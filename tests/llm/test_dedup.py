@@ -25,6 +25,15 @@ def test_a_small_filter_loses_nothing(texts, table):
     assert rows(got) == sorted(brute.exact_groups(texts), key=str)
 
 
+def test_several_filters_lose_nothing_and_let_few_through(spark, table):
+    docs = [(i, f"text {i - i % 3 if i < 60 else i}") for i in range(4000)]
+    got = exact_dedup.duplicate_groups(table(docs), max_filter_bytes=6000)  # three filters
+    assert rows(got) == sorted(brute.exact_groups(docs), key=str)
+    hashed = spark.createDataFrame([(i, str(i)) for i in range(20000)], "id long, sha string")
+    maybe, alone = exact_dedup.told_apart(hashed, 20000, 32, 1 << 20)
+    assert maybe.count() < 200 and maybe.count() + alone.count() == 20000
+
+
 def test_exact_runs_no_python(spark, texts, table):
     plan = exact_dedup.duplicate_groups(table(texts))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
