@@ -8,14 +8,21 @@
    buckets each document is only joined with the smallest, which keeps the rows in
    proportion to the documents.
 3. Families: the connected components of the candidates.  Any two documents that shared a
-   bucket and may be similar are in one family.
-4. Verification.  Within a family all pairs are compared exactly, on full shingle sets;
-   large families in tiles of ``TILE`` by ``TILE`` documents, dealt to different tasks.
-   A tile reports a spanning forest of its links, never the pairs.
+   bucket and may be similar are in one family.  A common passage can chain unrelated
+   documents to a large family; families beyond ``TILE`` documents are banded once more with
+   longer bands, which only documents that are alike in most coordinates share.
+4. Verification.  Within a family pairs are compared exactly, on full shingle sets, in tiles
+   of ``TILE`` by ``TILE`` documents dealt to different tasks; a tile reports a spanning forest
+   of its links, never the pairs.  In families of more than one tile, first every document is
+   compared with its neighbours in the order of the document that its buckets joined it to,
+   and with that document: one tile a ``TILE`` documents.  Only where that leaves a family in
+   several components are its other tiles compared, but those that hold one component, or
+   whose documents differ too much in size.
 5. The components of these links are the result.
 
-A pair at exactly the threshold shares no band with probability (1 - s**ROWS)**BANDS, under
-1e-6 at 0.8 and above; a pair that shares one is always compared in full sets.
+A pair at exactly the threshold shares no band with probability (1 - s**rows)**bands, under
+1e-6 at 0.8 and above, and 1e-6 more in large families; a pair that shares one is always
+compared in full sets.
 """
 
 from __future__ import annotations
@@ -28,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_batches, cut, grouped_rank, join_groups, semi_filter, without
+from ._spark import arrow_batches, cut, grouped_rank, join_groups, semi_filter, table, without
 from ._words import mix, ngrams, sub_batches, words_of
 from .components import connected_components
 
+#: Bands and coordinates of a band: of all documents, and of those in large families.
 BANDS, ROWS = 36, 5
+LONG_BANDS, LONG_ROWS = 75, 8
 SKETCH = 32
 #: Equal sketch coordinates of a candidate pair at least: a pair at 0.8 has fewer with a probability under 1e-6.
 SKETCH_EQUAL = 13
@@ -82,18 +91,18 @@ def circulant_signature(shingles: np.ndarray, bounds: np.ndarray, coordinates: i
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band."""
-    rows = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
-    for r in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
+    parts = signature.reshape(len(signature), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for r in range(rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
     return key
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n, digest, keys, sketch) of (id, text) rows; without shingles all but id and n null."""
-    picks = np.linspace(0, BANDS * ROWS - 1, SKETCH).astype(int)
+    picks = np.linspace(0, bands * rows - 1, SKETCH).astype(int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -104,9 +113,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 digest, keys, sketch = [None] * len(n), [None] * len(n), [None] * len(n)
                 if len(some):
                     inner = np.append(bounds[:-1][some], len(shingles))
-                    sig = circulant_signature(shingles, inner, BANDS * ROWS)
+                    sig = circulant_signature(shingles, inner, bands * rows)
                     sums = [np.add.reduceat(mix(shingles ^ np.uint64(s)), inner[:-1]) for s in (1, 2)]
-                    for j, (i, key) in enumerate(zip(some, band_keys(sig).view(np.int64), strict=True)):
+                    for j, (i, key) in enumerate(zip(some, band_keys(sig, bands, rows).view(np.int64), strict=True)):
                         digest[i] = sums[0][j].tobytes() + sums[1][j].tobytes()
                         keys[i] = key
                         sketch[i] = (sig[j, picks] & np.uint32(255)).astype(np.uint8).tobytes()
@@ -153,7 +162,8 @@ def candidates(nodes: DataFrame, total: int) -> DataFrame:
     small = shared.join(buckets.filter(F.col("n") <= SMALL_BUCKET).select("key"), "key")
     listed = small.groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
     pairs = small_bucket_pairs(listed, nodes.schema["id"].dataType)
-    return cut(stars.unionByName(pairs).filter("a <> b").distinct())
+    either = stars.unionByName(pairs).filter("a <> b")
+    return cut(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 # --------------------------------------------------------------------------- verification
@@ -232,19 +242,77 @@ def family_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return dealt.select("family", "ti", "tj", "id", "block", "text").mapInArrow(run, schema)
 
 
-def verified_links(docs: DataFrame, families: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links of the documents (id, text) within their families (id, label)."""
-    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    ranked, _ = grouped_rank(families, ["label"], ["id"], "rank")
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    placed = join_groups(ranked, cut(sizes), "label", "size", max(1, families.count())).select(
-        "id", F.col("label").alias("family"), F.floor(F.col("rank") / TILE).cast("int").alias("block"), blocks.alias("blocks")
-    )
-    texts = semi_filter(docs, F.col("id"), families, F.col("id"), families.count()).join(placed, "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = texts.select("*", other).select("family", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "id", "block", "text")
+def sized(families: DataFrame) -> DataFrame:
+    """(id, label, size): the members of families with their family's size."""
+    sizes = cut(families.groupBy("label").agg(F.count(F.lit(1)).alias("size")))
+    return cut(join_groups(families.select("id", "label"), sizes, "label", "size", max(1, families.count())))
+
+
+def texts_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` (id, ...) with the texts; only rows of ``docs`` that are placed are shuffled."""
+    ids = cut(placed.select("id").distinct())
+    return semi_filter(docs, F.col("id"), ids, F.col("id"), ids.count()).join(placed, "id")
+
+
+def blocked(members: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``block``: the members of each family in ``order``, ``TILE`` to a block."""
+    ranked, _ = grouped_rank(members.repartitionByRange("label", *order), ["label"], order, "rank")
+    return cut(ranked.withColumn("block", F.floor(F.col("rank") / TILE).cast("int")).drop("rank"))
+
+
+def near_hubs(large: DataFrame, edges: DataFrame) -> DataFrame:
+    """Tiles (family, ti, tj, id, block) of the members of large families that follow each other in
+    the order of their hub, the smallest document that a bucket joined them to; with each hub as a guest."""
+    hubs = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("hub"))
+    members = blocked(large.select("id", "label").join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id")), ["hub", "id"])
+    home = members.select("label", F.col("id").alias("hub"), F.col("block").alias("home"))
+    guests = members.select("label", "block", "hub").distinct().join(home, ["label", "hub"]).filter(F.col("home") != F.col("block"))
+    rows = members.select("label", "block", "id").unionByName(guests.select("label", "block", F.col("hub").alias("id")))
+    return rows.select("id", F.col("label").alias("family"), F.col("block").alias("ti"), F.col("block").alias("tj"), "block")
+
+
+def across(large: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame | None:
+    """Tiles of the families that ``found`` (a, b) leaves in several components, without those
+    that hold one component or whose documents differ too much in size; None if there are none."""
+    comps = connected_components(found).select("id", F.col("label").alias("comp"))
+    members = cut(large.select("id", "label").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    torn = cut(members.groupBy("label").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi"))
+    if not torn.count():
+        return None
+    still = join_groups(members, torn.select("label", "size"), "label", "size", max(1, members.count())).drop("size")
+    blocks = blocked(still.join(sizes, "id"), ["comp", "n", "id"])
+    facts = cut(blocks.groupBy("label", "block").agg(*[f(c).alias(f"{k}_{c}") for c in ("comp", "n") for k, f in (("lo", F.min), ("hi", F.max))]))
+    other = facts.toDF("label", *[f"o_{c}" for c in facts.columns[1:]])
+    one = (F.col("lo_comp") == F.col("hi_comp")) & (F.col("o_lo_comp") == F.col("o_hi_comp")) & (F.col("lo_comp") == F.col("o_lo_comp"))
+    alike = (100 * F.col("hi_n") >= percent * F.col("o_lo_n")) & (100 * F.col("o_hi_n") >= percent * F.col("lo_n"))
+    tiles = facts.join(other, "label").filter((F.col("block") <= F.col("o_block")) & ~one & alike).select("label", F.col("block").alias("ti"), F.col("o_block").alias("tj"))
+    sides = tiles.select("label", "ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("block"))
+    return sides.join(blocks.select("label", "block", "id"), ["label", "block"]).select("id", F.col("label").alias("family"), "ti", "tj", "block")
+
+
+def verified_links(docs: DataFrame, edges: DataFrame, sizes: DataFrame, total: int, shingle: int, percent: int) -> DataFrame:
+    """Links of the documents (id, text) within the families that the candidates ``edges`` make.
+    ``sizes``: (id, n) of the documents."""
     arrow_batches(docs.sparkSession)
-    return cut(family_links(tiles, shingle, percent))
+    families = sized(connected_components(edges))
+    one_tile = families.filter(F.col("size") <= TILE)
+    large = families.filter(F.col("size") > TILE)
+    if large.limit(1).count():  # the second banding
+        ids = cut(large.select("id"))
+        long = semi_filter(docs, F.col("id"), ids, F.col("id"), ids.count()).join(ids, "id", "left_semi")
+        edges = candidates(cut(signatures(long, shingle, LONG_BANDS, LONG_ROWS)), total)
+        families = sized(connected_components(edges))
+        one_tile = one_tile.unionByName(families.filter(F.col("size") <= TILE))
+        large = cut(families.filter(F.col("size") > TILE))
+    zero = F.lit(0)
+    tiles = one_tile.select("id", F.col("label").alias("family"), zero.alias("ti"), zero.alias("tj"), zero.alias("block"))
+    found = cut(family_links(texts_of(docs, tiles), shingle, percent))
+    if not large.limit(1).count():
+        return found
+    near = table(family_links(texts_of(docs, near_hubs(large, edges)), shingle, percent))
+    far = across(large, near, sizes, percent)
+    out = found.unionByName(near)
+    return out if far is None else out.unionByName(table(family_links(texts_of(docs, cut(far)), shingle, percent)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -261,9 +329,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(usable.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
     total = sig.count()
     heads = sets.select(F.col("digest").alias("d"), "first")
-    nodes = usable.join(heads, (F.col("id") == F.col("first")) & (F.col("digest") == F.col("d"))).select("id", "keys", "sketch")
-    families = connected_components(candidates(cut(nodes), total))
-    found = connected_components(verified_links(slim, families, shingle, percent))
+    nodes = cut(usable.join(heads, (F.col("id") == F.col("first")) & (F.col("digest") == F.col("d"))).select("id", "n", "keys", "sketch"))
+    edges = candidates(nodes, total)
+    found = connected_components(verified_links(slim, edges, nodes.select("id", "n"), total, shingle, percent))
     rep = found.select(F.col("id").alias("first"), "label")
     groups = cut(sets.join(rep, "first", "left").select("digest", "copies", F.coalesce("label", "first").alias("component")))
     linked = join_groups(usable.select("id", "n", "digest"), groups, "digest", "copies", total).select("id", "n", "component")
@@ -277,7 +345,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; all columns stay."""
+    """``docs`` with one document of each component, that with the smallest id; all columns stay.
+
+    Null and empty texts and null ids stay; rows that share an id stay or go together.  Very
+    long texts are compared whole, and an empty table stays empty."""
     return without(docs, id_col, near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(id_col))
 
 

@@ -63,6 +63,28 @@ def test_near_in_a_large_family(spark, table, monkeypatch):
     assert rows(near_dedup.near_duplicates(table(docs), shingle=3, percent=85)) == expected
 
 
+def test_near_with_a_common_passage(table, monkeypatch):
+    """Two thirds of each text are the same, so buckets and families are large and links are few."""
+    import random
+
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    docs = []
+    for d in range(120):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.randint(10, 30))]
+        if d % 4 == 3:
+            own = docs[d - 2][1].split()[40:]
+            own[0] = "changed"
+        docs.append((d, " ".join(passage + own)))
+    docs += [(200 + d, f"{t} more") for d, t in docs[::5]]
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    for shingle, percent in ((3, 85), (5, 80)):
+        expected = sorted(brute.near_groups(docs, shingle, percent), key=str)
+        assert 30 < len({c for _, _, c, _ in expected}) < 120
+        assert rows(near_dedup.near_duplicates(table(docs), shingle=shingle, percent=percent)) == expected
+
+
 def test_near_exact_threshold(table):
     # sets of 17 and 20 shingles that share 17: 85 of 100
     a = " ".join(f"w{i}" for i in range(19))
