@@ -117,6 +117,16 @@ def semi_filter(df: DataFrame, key: Column, members: DataFrame, member_key: Colu
     return split_rows(df, key, members, member_key, n_members)[0]
 
 
+def may_repeat(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The ``rows`` rows of ``df`` less most of those whose key is there once: a bounded filter
+    ahead of a grouping, for which only slot numbers are shuffled.  Keys that repeat all stay."""
+    slot, may = fresh(df, "_slot", "_may")
+    bits = filter_bits(rows, 16)
+    hit = df.select(slot_of(key, bits).alias(slot)).groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
+    maps = cut(pack_slots(hit.filter("n > 1").select(slot), slot))
+    return probe(df.withColumn(slot, slot_of(key, bits)), maps, slot, may).filter(F.col(may)).drop(slot, may)
+
+
 # --------------------------------------------------------------------------- ranks
 
 

@@ -12,9 +12,13 @@ reference text is first narrowed down, exactly, to what can match:
 3. For anchors that still have different runs, the windows of one copy of each are
    compared by hash.
    So every repeated window names a smaller document, its reference, and a place there.
-4. The named places are the reference text.  Documents with repeats are dealt into blocks;
-   the references of a block's documents go to it as its reference shards, once each, an
-   automaton is built of each shard, and the block's documents are streamed.
+4. The named places are the reference text.  Documents with repeats are dealt into blocks of
+   about ``BLOCK_WORDS``; the places that a block's documents name go to it as its reference
+   shards, once each, an automaton is built of each shard, and the block's documents are
+   streamed.  A block has at most as many places as its documents have windows.
+
+Of steps 2 and 3 only what a filter of anchors, or windows, that occur twice lets through is
+shuffled.
 
 Hashes only choose the reference text; words go by the automaton's verdict.
 """
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_batches, cut, join_groups, semi_filter
+from ._spark import arrow_batches, cut, join_groups, may_repeat, semi_filter
 from ._words import Words, mix, ngrams, sub_batches, word_powers, words_of
 
 WINDOW = 50
@@ -224,6 +228,7 @@ def references(docs: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
     them, stand in document ``id`` too.  Names a reference for every repeated window."""
     item = F.explode(F.arrays_zip("anchor", "run", "start", "n")).alias("r")
     runs = scanned.filter(F.col("id").isNotNull()).select("id", item).select("id", "r.*")
+    runs = may_repeat(runs, F.col("anchor"), scanned.agg(F.sum(F.size("anchor"))).first()[0] or 0)
     groups = runs.groupBy("run", "anchor").agg(F.min(F.struct("id", "start", "n")).alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k"))
     groups = cut(groups)
     total = scanned.count()
@@ -237,16 +242,19 @@ def references(docs: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
     texts = semi_filter(docs, F.col("id"), per_doc, F.col("id"), per_doc.count()).join(per_doc, "id")
     arrow_batches(docs.sparkSession)
     windows = cut(window_hashes(texts, window))
+    windows = cut(may_repeat(windows, F.col("w"), windows.count()))
     first = windows.groupBy("w").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k"))
     first = cut(first.filter(F.col("last") > F.col("first.id")).drop("last"))
     single = join_groups(windows.select("id", "w"), first, "w", "k", total).filter(F.col("id") > F.col("first.id"))
     return cut(hits.unionByName(single.select("id", F.col("first.id").alias("ref"), F.col("first.at").alias("start"), F.lit(1).alias("n"))).distinct())
 
 
-def reference_texts(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """(ref, texts): the stretches of each reference that its hits name, merged."""
-    wanted = cut(hits.groupBy(F.col("ref").alias("id")).agg(F.collect_set(F.struct("start", "n")).alias("places")))
-    rows = semi_filter(docs, F.col("id"), wanted, F.col("id"), wanted.count()).join(wanted, "id")
+def reference_texts(docs: DataFrame, hits: DataFrame, block: Column, window: int) -> DataFrame:
+    """(block, kind, id, texts): for each block of documents, the stretches of each reference that
+    its documents' hits name, merged.  ``block`` is that of the hits' ``id``."""
+    wanted = cut(hits.groupBy("ref", block.alias("block")).agg(F.collect_set(F.struct("start", "n")).alias("places")))
+    refs = cut(wanted.select("ref").distinct())
+    rows = semi_filter(docs, F.col("id"), refs, F.col("ref"), refs.count()).join(wanted, F.col("id") == F.col("ref"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -264,11 +272,11 @@ def reference_texts(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                             merged.append([start, end])
                     base = int(words.first[i])
                     texts.append([words.raw(base + s, base + e).decode("utf-8", "surrogateescape") for s, e in merged])
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.list_(pa.string()))], ["ref", "texts"])
+                yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(np.zeros(b.num_rows, np.int32)), b.column("id"), pa.array(texts, pa.list_(pa.string()))], ["block", "kind", "id", "texts"])
 
-    schema = T.StructType([T.StructField("ref", docs.schema["id"].dataType), T.StructField("texts", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), docs.schema["id"], T.StructField("texts", T.ArrayType(T.StringType()))])
     arrow_batches(docs.sparkSession)
-    return rows.select("id", "text", "places").mapInArrow(run, schema)
+    return rows.select("block", "id", "text", "places").mapInArrow(run, schema)
 
 
 # --------------------------------------------------------------------------- the verdict
@@ -351,11 +359,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flagged = cut(hits.select("id").distinct())
     words = scanned.join(flagged, "id", "left_semi").agg(F.sum("n_words").alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(words / BLOCK_WORDS))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-    asked = hits.select(block, "ref").distinct()
-    refs = asked.join(reference_texts(slim, hits, window), "ref").select("block", F.lit(0).alias("kind"), F.col("ref").alias("id"), "texts")
-    own = semi_filter(slim, F.col("id"), flagged, F.col("id"), flagged.count()).join(flagged, "id", "left_semi")
-    own = own.select(block, F.lit(1).alias("kind"), "id", F.array("text").alias("texts"))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    # documents that the filter lets through by chance are streamed too; the automata give them what is theirs
+    own = semi_filter(slim.filter("id IS NOT NULL"), F.col("id"), flagged, F.col("id"), flagged.count())
+    own = own.select(block.alias("block"), F.lit(1).alias("kind"), "id", F.array("text").alias("texts"))
+    refs = reference_texts(slim, hits, block, window)
     verdict = cut(stream_blocks(refs.unionByName(own), window)).dropDuplicates(["id", "sha"])
     v = verdict.select(F.col("id").alias("vid"), F.col("sha").alias("vsha"), "spans", "kept_sha")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
