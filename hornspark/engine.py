@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import logging
+from collections import Counter
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .ast import Const, Key, Literal, Program, Rule, ShellRule, Var, key_text
-from .durable import cut
+from .ast import Const, Key, Literal, OneOf, Program, Rule, ShellRule, Var, key_text
+from .durable import cut, split
 from .operators import relational as R
 from .operators.fixpoint import Loop
 from .parser import parse, parse_literal
@@ -20,6 +24,8 @@ from .sources.shell import rows_of
 from .sources.triples import input_rules
 
 GIVEN = "__given"
+#: Loops and kept relations that are computed at the same time, at most.
+AT_ONCE = 8
 log = logging.getLogger(__name__)
 
 
@@ -30,11 +36,13 @@ class Engine:
     allow_shell   run commands that are not just files; off by default
     max_rounds    rounds of a loop after which it is given up, with an error
     doubling      evaluate transitive closures by doubling paths instead of step by step
+    reuse         store relations that joins make and several literals read, and deal a relation
+                  from outside to all conclusions that only filter it in one scan
     """
 
-    def __init__(self, spark: SparkSession, params: Iterable[str] = (), allow_shell: bool = False, max_rounds: int = 100_000, doubling: bool = True):
+    def __init__(self, spark: SparkSession, params: Iterable[str] = (), allow_shell: bool = False, max_rounds: int = 100_000, doubling: bool = True, reuse: bool = True):
         self.spark, self.params, self.allow_shell = spark, list(params), allow_shell
-        self.max_rounds, self.doubling = max_rounds, doubling
+        self.max_rounds, self.doubling, self.reuse = max_rounds, doubling, reuse
         self.program = Program()
         self.given: dict[Key, DataFrame] = {}
         self.columns: dict[Key, list[str]] = {}
@@ -110,7 +118,7 @@ class Engine:
 
     def evaluate(self, program: str | Program, facts: dict[str, DataFrame | Iterable[tuple]] | None = None, relations: Iterable[str] | None = None) -> dict[str, DataFrame]:
         """Several relations of a program at once; what they share is computed once."""
-        inner = Engine(self.spark, self.params, self.allow_shell, self.max_rounds, self.doubling)
+        inner = Engine(self.spark, self.params, self.allow_shell, self.max_rounds, self.doubling, self.reuse)
         inner.given, inner.functions = dict(self.given), dict(self.functions)
         inner.program = Program(list(self.program.rules))
         inner.add(program)
@@ -124,17 +132,20 @@ class Engine:
         prepared = self.prepare(query)
         return prepared.describe() + (prepared.rows()._jdf.queryExecution().toString() if spark_plan else "")
 
-    def to_sql(self, query: str | None = None) -> str:
-        """One SQL statement.  Registered relations are tables of their names and columns."""
+    def to_sql(self, query: str | None = None, **options: bool) -> str:
+        """One SQL statement (``options`` as ``sqlgen.to_sql`` takes them).  Registered relations are
+        tables of their names and columns."""
         from .sqlgen import to_sql
 
-        return to_sql(self.program, self.program.resolve(query, self.known()), self.columns)
+        return to_sql(self.program, self.program.resolve(query, self.known()), self.columns, **options)
 
 
 class Prepared:
     """A checked and rewritten program, evaluated stratum by stratum as far as is needed.
 
-    Relations without recursion stay lazy; those of a loop are computed when first read."""
+    Relations without recursion stay lazy, but for those that are worth keeping (``kept``);
+    these and loops are computed when first read, those that do not need each other at a
+    time."""
 
     def __init__(self, engine: Engine, program: Program, wanted: list[Key]):
         self.engine, self.wanted = engine, wanted
@@ -146,16 +157,65 @@ class Prepared:
         self.needs = dependencies(self.program)
         self.group_of = {k: g for g in self.groups for k in g}
         self.done: dict[Key, R.Relation] = {}
-        self.uses: dict[Key, int] = {}
-        for r in self.program:
-            if isinstance(r, Rule):
-                for x in r.body:
-                    self.uses[x.key] = self.uses.get(x.key, 0) + 1
+        self.splits: dict[Key, DataFrame] = {}
+        uses = Counter(x.key for r in self.program if isinstance(r, Rule) for x in r.body)
+        uses += Counter(wanted if len(wanted) > 1 else ())
+        self.kept = {k for k, n in uses.items() if engine.reuse and n > 1 and self.has_join(k)}
+        self.readers = self.dealt_to() if engine.reuse else {}
+
+    def has_join(self, key: Key) -> bool:
+        """Whether rules without recursion join something for this relation: what is only filtered
+        is read again as cheaply as it is kept."""
+        rules = [r for r in self.program.of(key) if isinstance(r, Rule)]
+        return not is_recursive(self.group_of.get(key, [key]), self.needs) and any(len(r.body) > 1 for r in rules)
+
+    def dealt_to(self) -> dict[Key, list[Rule]]:
+        """Relations from outside, each with the rules of several conclusions that filter it."""
+        found: dict[Key, list[Rule]] = {}
+        for key in self.program.heads():
+            for r in rewrite.merge_constants([r for r in self.program.of(key) if isinstance(r, Rule) and not r.is_fact]):
+                if self.filters(r):
+                    found.setdefault(r.body[0].key, []).append(r)
+        return {leaf: rules for leaf, rules in found.items() if len({r.head.key for r in rules}) > 1}
+
+    def filters(self, rule: Rule) -> bool:
+        """Whether a rule reads some rows of one registered relation, and nothing else."""
+        x = rule.body[0]
+        return len(rule.body) == 1 and not x.negated and x.key in self.engine.given and not self.program.of(x.key) and any(isinstance(a, (Const, OneOf)) for a in x.args)
 
     def rows(self, key: Key | None = None) -> DataFrame:
+        self.ahead()
         r = self.relation(key or self.wanted[0])
         return r.df if r.unique else r.df.distinct()
 
+    def ahead(self) -> None:
+        """Compute what is computed at once, in levels: all of a level at the same time."""
+        for level in self.levels():
+            todo = [g for g in level if g[0] not in self.done]
+            for g in todo:  # what they read is lazy, or of an earlier level
+                for k in {x for own in g for x in self.needs.get(own, ())} - set(g):
+                    self.relation(k)
+            if len(todo) > 1:
+                with ThreadPoolExecutor(min(len(todo), AT_ONCE)) as pool:
+                    for f in [pool.submit(inheritable_thread_target(self.engine.spark)(self.relation), g[0]) for g in todo]:
+                        f.result()
+            elif todo:
+                self.relation(todo[0][0])
+
+    def levels(self) -> list[list[list[Key]]]:
+        """Groups that are computed at once: loops and kept relations, each after what it needs."""
+        depth: dict[Key, int] = {}
+        out: list[list[list[Key]]] = []
+        for g in self.groups:
+            below = max((depth.get(x, 0) for k in g for x in self.needs.get(k, ()) if x not in g), default=0)
+            at_once = is_recursive(g, self.needs) or g[0] in self.kept
+            for k in g:
+                depth[k] = below + at_once
+            if at_once:
+                out.extend([] for _ in range(below + 1 - len(out)))
+                out[below].append(g)
+        return out
+
     def relation(self, key: Key) -> R.Relation:
         if key not in self.done:
             group = self.group_of.get(key, [key])
@@ -165,9 +225,21 @@ class Prepared:
             elif is_recursive(group, self.needs):
                 self.loop(group, rules)
             else:
-                self.done[key] = self.plain(key, rules[key])
+                found = self.plain(key, rules[key])
+                self.done[key] = R.Relation(cut(found.df), found.unique) if key in self.kept else found
         return self.done[key]
 
+    def dealt(self, rule: Rule) -> R.Relation:
+        """The rows of its relation that a rule filters, from the one scan for all such rules."""
+        leaf = rule.body[0].key
+        rules = self.readers[leaf]
+        if leaf not in self.splits:
+            df = self.relation(leaf).df
+            fits = [R.condition(df, r.body[0])[0] for r in rules]
+            tags = F.array_compact(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(fits)]))
+            self.splits[leaf] = split(df.select("*", F.explode(tags).alias("tag")), "tag")
+        return R.Relation(self.splits[leaf].filter(F.col("tag") == rules.index(rule)).drop("tag"))
+
     def outside(self, key: Key) -> R.Relation:
         """Rows that are not from rules: registered, computed by a function, or none."""
         base = (key[0].removesuffix(GIVEN), key[1])
@@ -195,8 +267,17 @@ class Prepared:
         if key in self.engine.given or key in self.engine.functions:
             out.append(self.outside(key))
         out += [self.shell(r) for r in rules if isinstance(r, ShellRule)]
-        for r in rewrite.merge_constants([r for r in rules if isinstance(r, Rule) and not r.is_fact]):
-            out.append(rule_rows(r, lambda _, x: self.relation(x.key)))
+        merged = rewrite.merge_constants([r for r in rules if isinstance(r, Rule) and not r.is_fact])
+        together: dict[Key, list[Rule]] = {}
+        for r in merged:
+            if r in self.readers.get(r.body[0].key, ()):
+                out.append(rule_rows(r, lambda _, x, r=r: self.dealt(r)))
+            elif self.engine.reuse and self.filters(r):
+                together.setdefault(r.body[0].key, []).append(r)
+            else:
+                out.append(rule_rows(r, lambda _, x: self.relation(x.key)))
+        for leaf, own in together.items():
+            out.append(R.one_scan(self.relation(leaf), own) if len(own) > 1 else rule_rows(own[0], lambda _, x: self.relation(x.key)))
         return out
 
     def plain(self, key: Key, rules: list[Rule | ShellRule]) -> R.Relation:
@@ -231,9 +312,4 @@ class Prepared:
         return "\n".join(out) + "\n"
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """For relations that several queries read: computed once, kept in the shared folder."""
-    return cut(df)
-
-
-__all__ = ["Const", "Engine", "Prepared", "Var", "materialised"]
+__all__ = ["Const", "Engine", "Prepared", "Var"]

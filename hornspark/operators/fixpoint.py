@@ -4,7 +4,9 @@ A round joins what was new in the last round (the delta) with all that is known,
 is not known yet, and writes it to the shared folder: lineage does not grow, and a lost
 executor costs nothing.  All relations of a component go round in one tagged table, so that
 a round is one job however many relations there are.  Inputs from outside the loop are
-persisted for its time, and a delta that is known to be small is broadcast.
+persisted for its time, and a delta that is known to be small is broadcast.  Counting a delta
+also tells which literals of the rules fit any of its rows; a rule takes part in a round only
+if the literal that reads the delta does, and the others fit something known.
 """
 
 from __future__ import annotations
@@ -65,6 +67,7 @@ class Loop:
         self.spark, self.group, self.max_rounds = spark, group, max_rounds
         self.members, self.rules, self.outside = set(group), rules, outside
         self.kept: dict[str, R.Relation] = {}
+        self.inner = list(dict.fromkeys(shape(x) for r in rules for x in r.body if x.key in self.members))
 
     def source(self, literal: Literal) -> R.Relation:
         """A relation from outside, held in memory (or on disk) while the loop runs."""
@@ -86,21 +89,22 @@ class Loop:
         if not start:
             return {k: R.empty(self.spark, k[1]) for k in self.group}
         delta = cut(tagged(self.spark, start, self.group))
-        size = delta.count()
-        known, rounds = [(size, delta)], 0
+        size, now = self.looked_at(delta)
+        known, rounds, ever = [(size, delta)], 0, set(now)
         while size:
             rounds += 1
             if rounds > self.max_rounds:
                 raise IterationLimit(f"{', '.join(map(key_text, self.group))}: more than {self.max_rounds} rounds")
             total = together([df for _, df in known])
-            derived = self.step(delta, total, size)
+            derived = self.step(delta, total, size, now, ever)
             if derived is None:
                 break
             derived, total = common_types([derived, total])
             if sum(n for n, _ in known) <= SMALL_ROWS:  # many rules over few rows would be many empty tasks
                 derived = derived.coalesce(self.spark.sparkContext.defaultParallelism)
             delta = self.new_rows(derived, total, sum(n for n, _ in known))
-            size = delta.count()
+            size, now = self.looked_at(delta)
+            ever |= now
             log.info("%s: round %d, %d new rows", ", ".join(map(key_text, self.group)), rounds, size)
             if size:
                 known.append((size, delta))
@@ -109,6 +113,16 @@ class Loop:
         total = together([df for _, df in known])
         return {k: R.Relation(of_tag(total, i, k[1]), True) for i, k in enumerate(self.group)}
 
+    def looked_at(self, delta: DataFrame) -> tuple[int, set[Literal]]:
+        """The number of rows, and the literals (by shape) that fit one of them."""
+        fits = []
+        for x in self.inner:
+            where, _ = R.condition(delta, x)
+            own = F.col("tag") == self.group.index(x.key)
+            fits.append(F.max(own if where is None else own & where))
+        found = delta.agg(F.count(F.lit(1)), *fits).first()
+        return found[0], {x for x, fit in zip(self.inner, found[1:], strict=True) if fit}
+
     def new_rows(self, derived: DataFrame, total: DataFrame, known: int) -> DataFrame:
         """What of ``derived`` is not known.  Where much is known and little was derived, the
         derived rows go to the known ones, which then need no shuffle."""
@@ -128,9 +142,10 @@ class Loop:
         parts = max(self.spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
         return [(rows, cut(together([df for _, df in few]).coalesce(parts))), *rest]
 
-    def step(self, delta: DataFrame, total: DataFrame, size: int) -> DataFrame | None:
+    def step(self, delta: DataFrame, total: DataFrame, size: int, now: set[Literal], ever: set[Literal]) -> DataFrame | None:
         """All that follows in one round from a new row: for every rule, each literal of the loop
-        reads the delta once and the others read all that is known."""
+        reads the delta once and the others read all that is known.  ``now`` and ``ever``: the
+        literals that fit rows of the delta, and of all that is known."""
         small = size * len(delta.columns) <= BROADCAST_VALUES
         out: dict[Key, list[R.Relation]] = {}
         for rule in self.rules:
@@ -138,7 +153,11 @@ class Loop:
             # every pair of an old and a new row of a closure is also a new and an old one
             if len(inner) == 2 and is_closure_step(rule):
                 inner = inner[:1]
+            if any(shape(rule.body[i]) not in ever for i in inner):
+                continue
             for new in inner:
+                if shape(rule.body[new]) not in now:
+                    continue
 
                 def source(i: int, x: Literal, new: int = new) -> R.Relation:
                     if x.key not in self.members:
@@ -158,6 +177,12 @@ class Loop:
         return tagged(self.spark, rows, self.group)
 
 
+def shape(x: Literal) -> Literal:
+    """The literal with its variables renamed in order: equal for literals that fit the same rows."""
+    names: dict[Var, Var] = {}
+    return Literal(x.name, tuple(names.setdefault(a, Var(f"V{len(names)}")) if isinstance(a, Var) else a for a in x.args))
+
+
 def is_closure_step(rule: Rule) -> bool:
     """``p(X, Z) :- p(X, Y), p(Y, Z).``"""
     if len(rule.body) != 2 or any(x.key != rule.head.key or x.negated for x in rule.body) or rule.head.key[1] != 2:

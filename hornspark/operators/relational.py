@@ -46,9 +46,11 @@ def column(v: Var) -> str:
     return f"v_{v.name}"
 
 
-def read(relation: Relation, literal: Literal) -> Relation:
-    """Filter by the constants and repeated variables of a literal, one column per variable."""
-    df, first, where = relation.df, {}, []
+def condition(df: DataFrame, literal: Literal) -> tuple[Column | None, dict[Var, int]]:
+    """What the constants and repeated variables of a literal ask of the rows of ``df`` (None:
+    nothing), and the place of each variable."""
+    first: dict[Var, int] = {}
+    where = []
     for i, a in enumerate(literal.args):
         c = F.col(f"c{i}")
         if isinstance(a, (Const, OneOf)):
@@ -58,8 +60,15 @@ def read(relation: Relation, literal: Literal) -> Relation:
             where.append(c == F.col(f"c{first[a]}") if len(kinds) == 1 else c.cast("string") == F.col(f"c{first[a]}").cast("string"))
         else:
             first[a] = i
-    if where:
-        df = df.filter(all_of(where))
+    return (all_of(where) if where else None), first
+
+
+def read(relation: Relation, literal: Literal) -> Relation:
+    """Filter by the constants and repeated variables of a literal, one column per variable."""
+    df = relation.df
+    where, first = condition(df, literal)
+    if where is not None:
+        df = df.filter(where)
     kept = df.select(*[F.col(f"c{i}").alias(column(v)) for v, i in first.items()])
     return Relation(kept, relation.unique and not any(isinstance(a, OneOf) for a in literal.args))
 
@@ -101,6 +110,28 @@ def project(df: DataFrame, head: Literal) -> DataFrame:
     return df.select(*[(F.col(column(a)) if isinstance(a, Var) else F.lit(as_text(a.value))).alias(f"c{i}") for i, a in enumerate(head.args)])
 
 
+def one_scan(relation: Relation, rules: list[Rule]) -> Relation:
+    """Rows of the heads of rules that each read this relation and nothing else: one pass, in
+    which a row gives a row for each rule that it fits."""
+    df = relation.df
+    plans = [(condition(df, r.body[0]), r.head) for r in rules]
+    kinds = [[df.schema[f"c{first[a]}"].dataType if isinstance(a, Var) else T.StringType() for a in head.args] for (_, first), head in plans]
+    same = [len(set(k)) == 1 for k in zip(*kinds, strict=True)]
+    out = []
+    for (where, first), head in plans:
+        values = [F.col(f"c{first[a]}") if isinstance(a, Var) else F.lit(as_text(a.value)) for a in head.args]
+        row = F.struct(*[(v if s else v.cast("string")).alias(f"c{i}") for i, (v, s) in enumerate(zip(values, same, strict=True))])
+        out.append(row if where is None else F.when(where, row))
+    wheres = [where for (where, _), _ in plans]
+    if all(w is not None for w in wheres):
+        fits = wheres[0]
+        for w in wheres[1:]:
+            fits = fits | w
+        df = df.filter(fits)
+    rows = df.select(F.explode(F.array_compact(F.array(*out))).alias("r"))
+    return Relation(rows.select(*[F.col(f"r.{n}").alias(n) for n in names(len(rules[0].head.args))]))
+
+
 def union(spark: SparkSession, parts: list[Relation], arity: int) -> Relation:
     """Set union."""
     if not parts:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +52,10 @@ def bought(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("p")).distinct()
 
 
-def facts(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ()) -> DataFrame:
-    """Triples of all tables that have some, or of those named."""
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of all tables that have some."""
     out = None
     for table, columns in FACT_PARTS:
-        if tables and table not in tables:
-            continue
         part = _table(spark, sf_dir, table).selectExpr(*columns)
         out = part if out is None else out.unionByName(part)
     return out
@@ -346,19 +345,25 @@ owl("owl_disjoint", "ex:Resident owl:disjointWith ex:Home . ex:inNation rdfs:dom
 
 
 def owl_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes that follow from a small ontology and the places, by the general rules."""
+    """The classes that follow from a small ontology and all facts, by the general rules."""
     triples, prefixes = parse_triples(PROLOGUE + "ex:Nation rdfs:subClassOf ex:Place . ex:inRegion rdfs:range ex:Region ; rdfs:domain ex:Place .")
-    return Engine(spark).register("facts", facts(spark, sf_dir, ("region", "nation"))).add(meta_rules(triples, prefixes)).query('facts(X, "rdf:type", C)').toDF("x", "c")
+    return Engine(spark).register("facts", facts(spark, sf_dir)).add(meta_rules(triples, prefixes)).query('facts(X, "rdf:type", C)').toDF("x", "c")
 
 
 QUERIES["owl_meta"] = owl_meta
+ORACLES["owl_meta"] = _with(
+    ["facts"],
+    f"SELECT DISTINCT s AS x, o AS c FROM facts WHERE p = 'rdf:type' UNION SELECT s, 'ex:Place' FROM ({TYPED}'ex:Nation') t UNION SELECT s, 'ex:Place' FROM ({F_}'ex:inRegion') t"
+    f" UNION SELECT o, 'ex:Region' FROM ({F_}'ex:inRegion') t UNION SELECT * FROM (VALUES ('owl:Thing', 'owl:Class'), ('owl:Nothing', 'owl:Class')) AS v(x, c)",
+)
 
 # --------------------------------------------------------------------------- university benchmark
 
 
-def lubm_engine(spark: SparkSession, departments: int = 1) -> Engine:
-    rows = list(lubm.generate(1, 0, (departments, departments)))
-    return Engine(spark).register("allFacts", rows).add(lubm.program())
+def lubm_engine(spark: SparkSession, universities: int = 1, departments: tuple[int, int] = lubm.DEPARTMENTS) -> Engine:
+    """The benchmark's data of so many whole universities, and its rules."""
+    rows = pa.table(list(zip(*lubm.generate(universities, 0, departments), strict=True)), names=["s", "p", "o"])
+    return Engine(spark).register("allFacts", spark.createDataFrame(rows)).add(lubm.program())
 
 
 def _lubm(number: int) -> Callable[[SparkSession, str], DataFrame]:

@@ -5,7 +5,6 @@ field is the empty text.  Missing fields are empty, surplus ones are left out.""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +54,15 @@ def sorted_lines(df: DataFrame) -> Iterator[str]:
 
 
 def directory_relations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A file for each relation: binary if its name begins with a small letter, else unary."""
+    """A file for each relation: binary if its name begins with a small letter, else unary.  The
+    folder may be in any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     out = {}
-    for name in sorted(os.listdir(path)):
+    for name in sorted(f.getPath().getName() for f in store.listStatus(folder)):
         relation = name.split(".")[0]
         if relation and (relation[0].isalpha()):
-            out[relation] = read_tsv(spark, os.path.join(path, name), 2 if relation[0].islower() else 1)
+            out[relation] = read_tsv(spark, f"{path.rstrip('/')}/{name}", 2 if relation[0].islower() else 1)
     return out
 
 

@@ -205,3 +205,75 @@ def test_closure_of_any_graph(spark, pairs):
 
 def test_program_sum():
     assert len((parse("a(\"x\").") + Program()).rules) == 1
+
+
+def test_one_scan_for_several_conclusions(spark, tmp_path):
+    """Conclusions that filter a relation share a scan that deals its rows; joins of one are read again from there."""
+    path = str(tmp_path / "facts")
+    triples = [(f"s{i}", f"p{i % 5}", i) for i in range(100)] + [("s1", "p1", None)]
+    spark.createDataFrame(triples, "s string, p string, o int").write.parquet(path)
+    program = 'a(X, Y) :- facts(X, "p1", Y). b(X) :- facts(X, "p2", _). b(X) :- facts(X, "p3", _). c(X, "k") :- facts(X, "p4", X). d(X, Y) :- facts(X, "p1", 1), a(X, Y).'
+    e = Engine(spark).register("facts", spark.read.parquet(path))
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("/facts]")
+    out = e.evaluate(program, relations=["a/2", "b/1", "c/2", "d/2"])
+    assert [scans(out[k]) for k in ("a/2", "b/1", "c/2", "d/2")] == [0, 0, 0, 1]  # the dealt rows are stored; d joins, and reads its own constants
+    for key, expected in {"a/2": {(s, o) for s, p, o in triples if p == "p1"}, "b/1": {(s,) for s, p, _ in triples if p in ("p2", "p3")}, "c/2": set(), "d/2": {("s1", 1), ("s1", None)}}.items():
+        assert {tuple(r) for r in out[key].collect()} == expected, key
+    plain = Engine(spark, reuse=False).register("facts", spark.read.parquet(path)).evaluate(program, relations=["a/2", "b/1", "c/2", "d/2"])
+    assert scans(plain["a/2"]) == 1 and all(sorted(map(str, plain[k].collect())) == sorted(map(str, out[k].collect())) for k in out)
+
+
+def test_one_scan_for_several_rules(spark, tmp_path):
+    path = str(tmp_path / "e")
+    spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 1)], "x string, y int").write.parquet(path)
+    e = Engine(spark).register("e", spark.read.parquet(path)).add('o(X, Y) :- e(X, 1), e(X, Y). q(X, "one") :- e(X, 1). q(X, "low") :- e(X, 1). q(X, "two") :- e(X, 2). q(Y, "b") :- e("b", Y).')
+    df = e.query("q")
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, [("a", "one"), ("a", "low"), (None, "one"), (None, "low"), ("b", "two"), ("2", "b")]))
+    assert sorted(tuple(r) for r in e.query("o").collect()) == [("a", 1)]
+
+
+def test_shared_joins_are_computed_once(spark):
+    """A join that two literals read is stored; its inputs are not in the plan of what reads it."""
+    e = Engine(spark).register("e", [("a", "b"), ("b", "c"), ("c", "d")])
+    e.add("hot(X, Z) :- e(X, Y), e(Y, Z). o(X) :- hot(X, _), e(X, _). o(X) :- hot(_, X), e(_, X).")
+    prepared = e.prepare("o")
+    assert prepared.kept == {("hot", 2)} and prepared.levels() == [[[("hot", 2)]]]
+    df = prepared.rows()
+    assert sorted(r[0] for r in df.collect()) == ["a", "b", "c", "d"]
+    assert ("hot", 2) in prepared.done and "Scan ExistingRDD" in prepared.done["hot", 2].df._jdf.queryExecution().executedPlan().toString()
+    assert Engine(spark, reuse=False).register("e", [("a", "b")]).add("h(X, Z) :- e(X, Y), e(Y, Z). o(X) :- h(X, _). o(X) :- h(_, X).").prepare("o").kept == set()
+
+
+def test_independent_loops_are_one_level(spark):
+    program = "t(X, Y) :- e(X, Y). t(X, Z) :- t(X, Y), e(Y, Z). u(X, Y) :- f(X, Y). u(X, Z) :- u(X, Y), f(Y, Z). w(X) :- t(X, Y), u(Y, X). v(X) :- w(X). v(Y) :- v(X), t(X, Y). bad() :- v(X), v(Y), not w(X)."
+    e = Engine(spark).register("e", [("a", "b"), ("b", "c")]).register("f", [("c", "b"), ("b", "a")]).add(program)
+    prepared = e.prepare("v")
+    assert [sorted(g[0][0] for g in level) for level in prepared.levels()] == [["t", "u"], ["v"]]
+    assert sorted(r[0] for r in prepared.rows().collect()) == ["a", "b", "c"]
+
+
+def test_rules_take_part_only_where_they_can(spark):
+    """A rule whose literals fit nothing is left out of a round, and taken in as soon as they do."""
+    chain = {"e": [(str(i), str(i + 1)) for i in range(6)]}
+    p = 'f("0", "on"). f(Y, "on") :- f(X, "on"), e(X, Y). f(X, "late") :- f(X, "on"), f("5", "on"). f(X, "never") :- f(X, "odd"), f(X, "on"). f(X, "last") :- f(X, "late"), f(X, "on").'
+    expected = sorted((str(i), k) for i in range(7) for k in ("on", "late", "last"))
+    assert rows(spark, p, chain, "f") == expected
+    loop = fixpoint.Loop(spark, [("f", 2)], [r for r in parse(p).rules if r.body], lambda x: None, 10)
+    size, now = loop.looked_at(spark.createDataFrame([(0, "5", "on")], "tag int, c0 string, c1 string"))
+    assert size == 1 and {str(x) for x in now} == {str(fixpoint.shape(x)) for r in loop.rules for x in r.body if x.key == ("f", 2) and str(x.args[1]).strip('"') == "on"}
+
+
+def test_no_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from hornspark import durable
+
+    made = []
+    context = lambda master: SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+    session = lambda master, told=None: SimpleNamespace(sparkContext=context(master), conf=SimpleNamespace(get=lambda _, default: told or default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        durable.shared_folder(session("spark://host:7077"))
+    assert not made and durable.shared_folder(session("yarn", "s3://b/c")) == "s3://b/c"
+    made.clear()
+    assert durable.shared_folder(session("local[4]")) == made[-1]
