@@ -22,9 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there from now on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read from there from now on.
+
+    What comes back knows nothing of the plan that made it: a checkpoint hands on that plan's
+    estimate of its size, a product over all joins, and in a loop these numbers grow with every
+    round until the driver does nothing but multiply them."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
 def split(df: DataFrame, tag: str) -> DataFrame:
