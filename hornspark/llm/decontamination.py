@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, semi_filter, table, without
+from ._spark import cut, semi_filter, without
 
 #: Everything that separates words: all of ASCII but digits and small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, terms: DataFrame, few: bool, id_col: str = "doc
     marked = each.join(F.broadcast(numbered) if few else numbered, "term", "left")
     first = F.coalesce("pos", F.lit(0)) == 0
     kept = marked.filter(F.col("tid").isNotNull() | first)
-    stored = table(kept.select("row", "pos", "tid", F.when(first, F.col("id")).alias("id"), F.when(first, F.col("n_words")).alias("n_words")).sortWithinPartitions("tid"))
+    stored = cut(kept.select("row", "pos", "tid", F.when(first, F.col("id")).alias("id"), F.when(first, F.col("n_words")).alias("n_words")).sortWithinPartitions("tid"))
     postings = stored.filter("tid IS NOT NULL").select("row", "pos", "tid")
     counts = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
     return Index(stored.filter("n_words IS NOT NULL").select("row", "id", "n_words"), postings, cut(numbered.join(counts, "tid", "left").select("term", "tid", F.coalesce("n", F.lit(0)).alias("n"))), few)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, filter_bits, fresh, join_groups, pack_slots, probe, split_rows, table
+from ._spark import cut, filter_bits, fresh, join_groups, pack_slots, probe, split_rows
 
 #: Runs of white space that are not one plain space already.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -64,12 +64,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if filters <= 1:
         maybe, alone = told_apart(hashed, total, bits_per_row, max_filter_bytes)
     else:
-        path = table(hashed.withColumn("part", F.pmod(F.xxhash64("sha", F.lit(-1)), F.lit(filters)).cast("int")), "part")
+        path = cut(hashed.withColumn("part", F.pmod(F.xxhash64("sha", F.lit(-1)), F.lit(filters)).cast("int")), "part")
         parts = []
         for k in range(filters):  # one broadcast at a time: each part's rows are written before the next
             own = path.filter(F.col("part") == k).select("id", "sha")
             several, single = told_apart(own, -(-total // filters), bits_per_row, max_filter_bytes)
-            parts.append(table(several.withColumn("alone", F.lit(False)).unionByName(single.withColumn("alone", F.lit(True)))))
+            parts.append(cut(several.withColumn("alone", F.lit(False)).unionByName(single.withColumn("alone", F.lit(True)))))
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_batches, cut, table
+from ._spark import arrow_batches, cut
 from ._words import WORD_BASE, byte_powers, mix, words_of
 
 #: A word is frequent with one in so many tokens.
@@ -240,7 +240,7 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(words, pa.binary()), *[pa.array(counts[:, k], pa.int64()) for k in range(classes)]], ["wid", "word", *names])
 
     counted = docs.select("text", "cls").mapInArrow(run, "wid long, word binary, " + ", ".join(f"{n} long" for n in names))
-    return table(counted.groupBy("wid", "word").agg(*[F.sum(n).alias(n) for n in names]))
+    return cut(counted.groupBy("wid", "word").agg(*[F.sum(n).alias(n) for n in names]))
 
 
 def fit(counts: DataFrame, types: list[int], path: str, rounds: int) -> np.ndarray:
@@ -362,7 +362,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None, id_col: st
 
     schema = T.StructType([slim.schema["id"], *T._parse_datatype_string("held_out boolean, n_words long, known long, base double, wid array<long>, tf array<int>, s array<double>")])
     arrow_batches(docs.sparkSession)
-    scanned = table(slim.drop("cls").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    scanned = cut(slim.drop("cls").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = scanned.select("row", F.explode(F.arrays_zip("wid", "tf")).alias("r")).select("row", "r.wid", "r.tf")
     met = rare.join(scored_words(total * FREQUENT < max(n, 1)), "wid")
     sums = F.array(*[F.sum(F.col("tf") * F.get("lp", F.lit(k))) for k in range(classes)])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_batches, cut, grouped_rank, join_groups, semi_filter, table, without
+from ._spark import arrow_batches, cut, grouped_rank, join_groups, semi_filter, without
 from ._words import mix, ngrams, sub_batches, words_of
 from .components import connected_components
 
@@ -309,10 +309,10 @@ def verified_links(docs: DataFrame, edges: DataFrame, sizes: DataFrame, total: i
     found = cut(family_links(texts_of(docs, tiles), shingle, percent))
     if not large.limit(1).count():
         return found
-    near = table(family_links(texts_of(docs, near_hubs(large, edges)), shingle, percent))
+    near = cut(family_links(texts_of(docs, near_hubs(large, edges)), shingle, percent))
     far = across(large, near, sizes, percent)
     out = found.unionByName(near)
-    return out if far is None else out.unionByName(table(family_links(texts_of(docs, cut(far)), shingle, percent)))
+    return out if far is None else out.unionByName(cut(family_links(texts_of(docs, cut(far)), shingle, percent)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

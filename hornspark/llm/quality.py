@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_batches, cut, fresh, table
+from ._spark import arrow_batches, cut, fresh
 from ._words import IS_SPACE, hash_words, mix, sub_batches, text_bytes, tokens_of
 
 #: Labelled rows to fit on at most, by expectation (a hash threshold picks them).
@@ -422,7 +422,7 @@ def compacted(rows: DataFrame, tables: list[np.ndarray], meta: list[str], target
     schema = T.StructType([*[rows.schema[c] for c in kept], *T._parse_datatype_string("text array<int>, meta array<int>")])
     arrow_batches(rows.sparkSession)
     out = rows.mapInArrow(run, schema)
-    return table(out.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("_id").alias("tie"), "*"))
+    return cut(out.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("_id").alias("tie"), "*"))
 
 
 def fitted(sample: DataFrame, given: DataFrame | None, targets: list[str], widths: list[int]) -> dict[str, list[View]]:

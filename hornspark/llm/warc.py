@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, cut, ensure_checkpoint_dir, filter_bits, join_groups, pack_slots, probe, slot_of, table
+from ._spark import arrow_batches, cut, ensure_checkpoint_dir, filter_bits, join_groups, pack_slots, probe, slot_of
 
 log = logging.getLogger(__name__)
 
@@ -406,7 +406,7 @@ def write_pages(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: st
 def checked(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
     """The records of the archives in ``uri`` without payloads.  Gaps are logged to ``uri``-gaps, a
     Parquet table; raises if fewer or more records are read than the manifest has."""
-    found = table(read_archives(spark, uri, with_payload=False))
+    found = cut(read_archives(spark, uri, with_payload=False))
     counts = found.agg(F.count(F.when(F.col("kind") == "record", 1)).alias("n"), F.count(F.when(F.col("kind") == "gap", 1)).alias("gaps")).first()
     written = manifest.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
     if counts["gaps"]:
