@@ -26,14 +26,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return told or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, *parts: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder, with a folder for each value of
-    ``parts``, and go on from there: lineage ends, later jobs read it, and only the columns they
-    ask for, instead of computing again, and a lost executor loses nothing.
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there: lineage ends,
+    later jobs read it instead of computing again, and a lost executor loses nothing.
 
-    A table's size is that of its files.  A checkpoint would hand on the estimate of its plan,
-    which is the product of its inputs' for every join; over the rounds of a loop such numbers
+    What comes back knows nothing of the plan that made it: a checkpoint hands on that plan's
+    estimate of its size, a product over all joins, and over the rounds of a loop such numbers
     grow until the driver does nothing but multiply them."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+
+
+def table(df: DataFrame, *parts: str) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the shared folder: smaller, and only the columns
+    that are asked for are read again; with a folder for each value of ``parts``."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

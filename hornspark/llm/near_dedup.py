@@ -4,9 +4,9 @@
    a second permutation, circularly shifted by k, gives coordinate k: two permutations
    for all coordinates (C-MinHash).  Equal shingle sets are one node from here on.
 2. Banding.  Documents with an equal band share a bucket.  Pairs of small buckets are
-   candidates if their sketches (32 coordinates, 8 bits each) are not far apart; in larger
-   buckets each document is only joined with the smallest, which keeps the rows in
-   proportion to the documents.
+   candidates if their sketches (32 coordinates, 8 bits each) are not far apart, and a bucket
+   gives a spanning forest of them; in larger buckets each document is only joined with the
+   smallest.  So the rows stay in proportion to the documents.
 3. Families: the connected components of the candidates.  Any two documents that shared a
    bucket and may be similar are in one family.  A common passage can chain unrelated
    documents to a large family; families beyond ``TILE`` documents are banded once more with
@@ -132,19 +132,32 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
 # --------------------------------------------------------------------------- candidates
 
 
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges to the first row of its component from every other row of a symmetric matrix of links."""
+    m = len(linked)
+    np.fill_diagonal(linked, True)
+    label = np.arange(m)
+    while True:
+        least = np.where(linked, label[None, :], m).min(1)
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            break
+        label = least
+    return [(int(label[i]), i) for i in range(m) if label[i] != i]
+
+
 def small_bucket_pairs(buckets: DataFrame, id_type: T.DataType) -> DataFrame:
-    """Pairs (a, b) of the members (id, sketch) of each row, unless their sketches are far apart."""
+    """A spanning forest (a, b) of the members (id, sketch) of each row whose sketches are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for members in batch.column("members").to_pylist():
-                ids = [m["id"] for m in members]
-                s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(ids), SKETCH)
-                near = (s[:, None, :] == s[None, :, :]).sum(2) >= SKETCH_EQUAL
-                for i, j in np.argwhere(np.triu(near, 1)):
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
+                members.sort(key=lambda m: m["id"])
+                s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), SKETCH)
+                for i, j in forest((s[:, None, :] == s[None, :, :]).sum(2) >= SKETCH_EQUAL):
+                    a.append(members[i]["id"])
+                    b.append(members[j]["id"])
             kind = batch.schema.field("members").type.value_type.field("id").type
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
@@ -196,15 +209,7 @@ def links(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, i
     if split:
         linked[:split, :split] = False
         linked[split:, split:] = False
-    np.fill_diagonal(linked, True)
-    label = np.arange(m)
-    while True:
-        least = np.where(linked, label[None, :], m).min(1)
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            break
-        label = least
-    return [(int(label[i]), i) for i in range(m) if label[i] != i]
+    return forest(linked)
 
 
 def family_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
