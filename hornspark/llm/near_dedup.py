@@ -9,15 +9,15 @@
    smallest.  So the rows stay in proportion to the documents.
 3. Families: the connected components of the candidates.  Any two documents that shared a
    bucket and may be similar are in one family.  A common passage can chain unrelated
-   documents to a large family; families beyond ``TILE`` documents are banded once more with
+   documents to a large family; families beyond ``LARGE`` documents are banded once more with
    longer bands, which only documents that are alike in most coordinates share.
 4. Verification.  Within a family pairs are compared exactly, on full shingle sets, in tiles
-   of ``TILE`` by ``TILE`` documents dealt to different tasks; a tile reports a spanning forest
-   of its links, never the pairs.  In families of more than one tile, first every document is
-   compared with its neighbours in the order of the document that its buckets joined it to,
-   and with that document: one tile a ``TILE`` documents.  Only where that leaves a family in
-   several components are its other tiles compared, but those that hold one component, or
-   whose documents differ too much in size.
+   of ``TILE`` by ``TILE`` documents in the order of their sizes, dealt to different tasks; a tile
+   reports a spanning forest of its links, never the pairs, and tiles whose documents differ
+   too much in size are left out.  In families that are still beyond ``LARGE``, first every
+   document is compared with its neighbours in the order of the document that its buckets
+   joined it to, and with that document: one tile a ``TILE`` documents.  Only where that leaves
+   a family in several components are its other tiles compared, but those that hold one.
 5. The components of these links are the result.
 
 A pair at exactly the threshold shares no band with probability (1 - s**rows)**bands, under
@@ -49,6 +49,8 @@ SKETCH_EQUAL = 13
 SMALL_BUCKET = 16
 #: Documents of a family that one task compares with each other.
 TILE = 128
+#: Documents of a family from which on tiles of all its blocks would ship each text too often.
+LARGE = 64 * TILE
 #: Rows of a batch; the shingle keys hold the row in their upper 8 bits.
 BATCH = 256
 
@@ -276,16 +278,9 @@ def near_hubs(large: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", F.col("label").alias("family"), F.col("block").alias("ti"), F.col("block").alias("tj"), "block")
 
 
-def across(large: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame | None:
-    """Tiles of the families that ``found`` (a, b) leaves in several components, without those
-    that hold one component or whose documents differ too much in size; None if there are none."""
-    comps = connected_components(found).select("id", F.col("label").alias("comp"))
-    members = cut(large.select("id", "label").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    torn = cut(members.groupBy("label").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi"))
-    if not torn.count():
-        return None
-    still = join_groups(members, torn.select("label", "size"), "label", "size", max(1, members.count())).drop("size")
-    blocks = blocked(still.join(sizes, "id"), ["comp", "n", "id"])
+def tiles_of(blocks: DataFrame, percent: int) -> DataFrame:
+    """Tiles (id, family, ti, tj, block) of ``blocks`` (label, block, id, comp, n), without those
+    that hold one component or whose documents differ too much in size."""
     facts = cut(blocks.groupBy("label", "block").agg(*[f(c).alias(f"{k}_{c}") for c in ("comp", "n") for k, f in (("lo", F.min), ("hi", F.max))]))
     other = facts.toDF("label", *[f"o_{c}" for c in facts.columns[1:]])
     one = (F.col("lo_comp") == F.col("hi_comp")) & (F.col("o_lo_comp") == F.col("o_hi_comp")) & (F.col("lo_comp") == F.col("o_lo_comp"))
@@ -295,26 +290,40 @@ def across(large: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -
     return sides.join(blocks.select("label", "block", "id"), ["label", "block"]).select("id", F.col("label").alias("family"), "ti", "tj", "block")
 
 
+def across(large: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame | None:
+    """The tiles of the families that ``found`` (a, b) leaves in several components; None if there are none."""
+    comps = connected_components(found).select("id", F.col("label").alias("comp"))
+    members = cut(large.select("id", "label").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    torn = cut(members.groupBy("label").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi"))
+    if not torn.limit(1).count():
+        return None
+    still = join_groups(members, torn.select("label", "size"), "label", "size", max(1, members.count())).drop("size")
+    return tiles_of(blocked(still.join(sizes, "id"), ["comp", "n", "id"]), percent)
+
+
 def verified_links(docs: DataFrame, edges: DataFrame, sizes: DataFrame, total: int, shingle: int, percent: int) -> DataFrame:
     """Links of the documents (id, text) within the families that the candidates ``edges`` make.
     ``sizes``: (id, n) of the documents."""
     arrow_batches(docs.sparkSession)
     families = sized(connected_components(edges))
-    one_tile = families.filter(F.col("size") <= TILE)
-    large = families.filter(F.col("size") > TILE)
+    plain, large = families.filter(F.col("size") <= LARGE), families.filter(F.col("size") > LARGE)
     if large.limit(1).count():  # the second banding
         ids = cut(large.select("id"))
         long = semi_filter(docs, F.col("id"), ids, F.col("id"), ids.count()).join(ids, "id", "left_semi")
         edges = candidates(cut(signatures(long, shingle, LONG_BANDS, LONG_ROWS)), total)
         families = sized(connected_components(edges))
-        one_tile = one_tile.unionByName(families.filter(F.col("size") <= TILE))
-        large = cut(families.filter(F.col("size") > TILE))
+        plain = plain.unionByName(families.filter(F.col("size") <= LARGE))
+        large = cut(families.filter(F.col("size") > LARGE))
     zero = F.lit(0)
-    tiles = one_tile.select("id", F.col("label").alias("family"), zero.alias("ti"), zero.alias("tj"), zero.alias("block"))
-    found = cut(family_links(texts_of(docs, tiles), shingle, percent))
+    tiles = plain.filter(F.col("size") <= TILE).select("id", F.col("label").alias("family"), zero.alias("ti"), zero.alias("tj"), zero.alias("block"))
+    several = plain.filter(F.col("size") > TILE).select("id", "label")
+    if several.limit(1).count():
+        blocks = blocked(several.join(sizes, "id").withColumn("comp", F.col("id")), ["n", "id"])
+        tiles = tiles.unionByName(tiles_of(blocks, percent))
+    found = cut(family_links(texts_of(docs, cut(tiles)), shingle, percent))
     if not large.limit(1).count():
         return found
-    near = cut(family_links(texts_of(docs, near_hubs(large, edges)), shingle, percent))
+    near = cut(family_links(texts_of(docs, cut(near_hubs(large, edges))), shingle, percent))
     far = across(large, near, sizes, percent)
     out = found.unionByName(near)
     return out if far is None else out.unionByName(cut(family_links(texts_of(docs, cut(far)), shingle, percent)))

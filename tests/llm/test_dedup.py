@@ -60,7 +60,9 @@ def test_near_in_a_large_family(spark, table, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 16)
     expected = sorted(brute.near_groups(docs), key=str)
     assert len({c for _, _, c, _ in expected}) > 5
-    assert rows(near_dedup.near_duplicates(table(docs), shingle=3, percent=85)) == expected
+    for large in (16, 64 * 16):
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        assert rows(near_dedup.near_duplicates(table(docs), shingle=3, percent=85)) == expected
 
 
 def test_near_with_a_common_passage(table, monkeypatch):
@@ -79,7 +81,8 @@ def test_near_with_a_common_passage(table, monkeypatch):
     docs += [(200 + d, f"{t} more") for d, t in docs[::5]]
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(near_dedup, "TILE", 16)
-    for shingle, percent in ((3, 85), (5, 80)):
+    for shingle, percent, large in ((3, 85, 16), (5, 80, 16), (3, 85, 64 * 16)):
+        monkeypatch.setattr(near_dedup, "LARGE", large)  # with the second banding, and without
         expected = sorted(brute.near_groups(docs, shingle, percent), key=str)
         assert 30 < len({c for _, _, c, _ in expected}) < 120
         assert rows(near_dedup.near_duplicates(table(docs), shingle=shingle, percent=percent)) == expected
