@@ -177,8 +177,11 @@ def candidates(nodes: DataFrame, total: int) -> DataFrame:
     small = shared.join(buckets.filter(F.col("n") <= SMALL_BUCKET).select("key"), "key")
     listed = small.groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
     pairs = small_bucket_pairs(listed, nodes.schema["id"].dataType)
-    either = stars.unionByName(pairs).filter("a <> b")
-    return cut(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    either = stars.unionByName(pairs).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # a document's smaller neighbours, one a band at most, hang on the smallest of them: nearly one edge a document
+    near = either.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    among = near.select("a", F.explode("others").alias("b")).filter("a <> b").distinct()
+    return cut(near.select("a", "b").unionByName(among).distinct())
 
 
 # --------------------------------------------------------------------------- verification
