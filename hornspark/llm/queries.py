@@ -20,5 +20,8 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op5_near_dedup": near_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }

@@ -427,3 +427,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY payload) AS first,
+         [('0x' || substr(h, 5 * i + 1, 5))::INT FOR i IN range(8)] AS parts
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) % 32 + 1)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
