@@ -4,7 +4,8 @@ A dialogue is rendered once for every participant: that speaker's turns are the
 assistant's and carry the loss mask, all others are named users, system turns stay.  The
 result has one row per turn of each rendering with its place in the rendered text, so
 no task ever holds a whole conversation: turns are dealt by range of (conversation, turn),
-places are summed within a range, and the ranges' totals give each its start.
+places are summed within a range, and the ranges' totals give each its start.  All of this
+takes lengths only; the texts, moved once to their ranges, move once more to their places.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ._spark import cut
 SYSTEM = "system"
 #: Name of a speaker whose role is null.
 NOBODY = "unknown"
+END = "\n<|end|>\n"
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -34,22 +36,26 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(F.col(role_col), F.lit(NOBODY)).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    order = ["turn", "role", "text"]
-    t = cut(t.repartitionByRange("conv", *order).withColumn("pid", F.spark_partition_id()))
-    who = t.filter(F.col("role") != SYSTEM).select(F.col("conv").alias("c"), F.col("role").alias("perspective")).distinct()
+    order = ["conv", "turn", "role", "text"]
+    t = t.repartitionByRange(*order).sortWithinPartitions(*order)
+    t = cut(t.withColumn("pid", F.spark_partition_id()).withColumn("rid", F.monotonically_increasing_id()))
+    slim = t.select("pid", "rid", "conv", "role", F.char_length("text").cast("long").alias("n_text"))
+    who = slim.filter(F.col("role") != SYSTEM).select(F.col("conv").alias("c"), F.col("role").alias("perspective")).distinct()
+    # a conversation meets its participants range by range, so that a long one is spread
+    parts = slim.select("pid", "conv").distinct().join(who, F.col("conv").eqNullSafe(F.col("c")))
+    parts = parts.select(F.col("pid").alias("p"), "c", "perspective")
     own = F.col("role") == F.col("perspective")
     speaker = F.when(own, "assistant").when(F.col("role") == SYSTEM, SYSTEM).otherwise("user")
     name = F.when(F.col("speaker") == "user", F.concat(F.lit(" name="), "role")).otherwise("")
     x = (
-        t.join(who, F.col("conv").eqNullSafe(F.col("c")))
-        .drop("c")
+        slim.join(parts, (F.col("pid") == F.col("p")) & F.col("conv").eqNullSafe(F.col("c")))
+        .drop("p", "c")
         .withColumn("speaker", speaker)
         .withColumn("header", F.concat(F.lit("<|"), "speaker", name, F.lit("|>\n")))
-        .withColumn("segment", F.concat("header", "text", F.lit("\n<|end|>\n")))
-        .withColumn("chars", F.char_length("segment").cast("long"))
+        .withColumn("chars", F.char_length("header") + F.col("n_text") + len(END))
     )
     group = ["conv", "perspective"]
-    local = Window.partitionBy("pid", *group).orderBy(*order)
+    local = Window.partitionBy("pid", *group).orderBy("rid")
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -66,13 +72,14 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     placed = x.withColumn("k", F.row_number().over(local) - 1).withColumn("at", F.coalesce(F.sum("chars").over(before), F.lit(0)))
     here = (F.col("pid") == F.col("p")) & F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("v"))
     start = F.col("char0") + F.col("at")
-    return placed.join(starts, here).select(
+    texts = t.select(F.col("rid").alias("r"), "text")
+    return placed.join(starts, here).join(texts, F.col("rid") == F.col("r")).select(
         F.col("conv").alias(conv_col),
         "perspective",
         (F.col("seq0") + F.col("k")).cast("long").alias("seq"),
         "role",
         "speaker",
-        "segment",
+        F.concat("header", "text", F.lit(END)).alias("segment"),
         start.alias("char_start"),
         F.when(F.col("speaker") == "assistant", start + F.char_length("header")).alias("mask_start"),
         F.when(F.col("speaker") == "assistant", start + F.col("chars")).alias("mask_end"),
