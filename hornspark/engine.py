@@ -15,6 +15,7 @@ from .ast import Const, Key, Literal, OneOf, Program, Rule, ShellRule, Var, key_
 from .durable import cut, split
 from .operators import relational as R
 from .operators.fixpoint import Loop
+from .operators.product import Sides
 from .parser import parse, parse_literal
 from .plans import rewrite
 from .plans.analysis import check, dependencies, is_recursive, reachable, strata
@@ -299,9 +300,23 @@ class Prepared:
             if parts:
                 exits[key] = R.union(self.engine.spark, parts, key[1])
             steps += recursive
+        product = rewrite.as_product(steps, group[0]) if len(group) == 1 and exits else None
+        sides = Sides(product, lambda x: self.relation(x.key)) if product else None
+        if sides is not None and sides.fit(exits[group[0]].df):
+            self.done[group[0]] = self.product(group[0], exits, sides)
+            return
         found = Loop(self.engine.spark, group, steps, lambda x: self.relation(x.key), self.engine.max_rounds).run(exits)
         self.done.update(found)
 
+    def product(self, key: Key, exits: dict[Key, R.Relation], sides: Sides) -> R.Relation:
+        """A loop over the rows that can be read again; the others stay lazy unless they are read
+        more than once."""
+        rule, extra = sides.loop_rule()
+        found = Loop(self.engine.spark, [key], [rule], lambda x: extra.get(x.name) or self.relation(x.key), self.engine.max_rounds).run(exits)
+        df = sides.whole(found[key].df)
+        readers = sum(x.key == key for r in self.program if isinstance(r, Rule) and r.head.key != key for x in r.body)
+        return R.Relation(cut(df) if readers + (key in self.wanted) > 1 else df, True)
+
     def describe(self) -> str:
         """The strata with their rules, loops marked."""
         out = []

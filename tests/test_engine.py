@@ -1,4 +1,5 @@
 import itertools
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hornspark.ast import Program, Rule
 from hornspark.engine import Engine
-from hornspark.operators import fixpoint
+from hornspark.operators import fixpoint, product
 from hornspark.operators.fixpoint import IterationLimit
 from hornspark.parser import parse
 from hornspark.plans import rewrite
@@ -124,6 +125,65 @@ def test_loops_over_many_known_rows(spark, monkeypatch):
         assert rows(spark, "a() :- p(X, X). a() :- a(), p(X, _).", {"p": [("1", "1")]}) == [()]
 
 
+SAME = "sg(X, X) :- up(_, X). sg(X, Y) :- up(X, A), sg(A, B), up(Y, B)."
+
+
+def test_products_are_not_stored(spark):
+    """The pairs of leaves, nearly all rows, are neither written nor shuffled before the sink."""
+    up = [(f"s{i}", f"n{i % 3}") for i in range(900)] + [(f"n{i}", "r") for i in range(3)]
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    written = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    before = written()
+    out = Engine(spark).register("up", up).add(SAME).query("sg")
+    assert written() - before < 1_000_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Anti" not in plan
+    assert out.count() == out.distinct().count() == 900 * 900 + 9 + 1
+
+
+def generations(up, found):
+    while new := {(x, y) for x, a in up for y, b in up if a is not None and b is not None and (a, b) in found} - found:
+        found |= new
+    return found
+
+
+@pytest.mark.parametrize("sizes", [{"PART_ROWS": 2}, {"SIDE_VALUES": 0, "SQUARE_ROWS": 2, "PART_ROWS": 3}])
+def test_products_of_any_graph(spark, monkeypatch, sizes):
+    """Several parents, cycles, nulls, and rows to begin with that follow too or lead nowhere."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(product, name, value)
+    up = [("a", "p"), ("b", "p"), ("b", "q"), ("c", "q"), ("d", "r"), ("d", "r"), (None, "p"), ("a", None), ("p", "t"), ("q", "t"), ("r", "u"), ("u", "r"), ("e", "a"), ("f", "c"), ("g", "b")]
+    pairs = [("t", "t"), ("r", "u"), ("a", "b"), ("z", "z"), (None, None), (None, "b"), ("e", None), ("d", "d")]
+    program = "sg(X, Y) :- flat(X, Y). sg(X, Y) :- up(X, A), sg(A, B), up(Y, B)."
+    for text, start in ((SAME, {(y, y) for _, y in up}), (program, set(pairs))):
+        got = [tuple(r) for r in Engine(spark).register("up", up).register("flat", pairs).add(text).query("sg").collect()]
+        assert len(got) == len(set(got)) and set(got) == generations(up, start)
+
+
+def test_products_that_others_read(spark):
+    up = [("a", "p"), ("b", "p"), ("c", "q"), ("p", "t"), ("q", "u")]
+    assert rows(spark, SAME + ' o(X) :- sg(X, "b"), sg("a", X).', {"up": up}, "o") == [("a",), ("b",)]
+
+
+def test_products_of_other_types_are_compared_as_texts(spark):
+    up = spark.createDataFrame([(1, 7), (2, 7)], "x int, y int")
+    assert rows(spark, 'sg("7", "7"). sg(X, Y) :- up(X, A), sg(A, B), up(Y, B).', {"up": up}) == [("1", "1"), ("1", "2"), ("2", "1"), ("2", "2"), ("7", "7")]
+    assert rows(spark, "sg(X, X) :- up(_, X). sg(X, Y) :- up(X, A), sg(A, B), up(Y, B).", {"up": up}) == [(1, 1), (1, 2), (2, 1), (2, 2), (7, 7)]
+
+
+def test_products():
+    """Only rules of two sides that nothing but the loop links."""
+    found = lambda text: rewrite.as_product(parse(text).rules, ("sg", 2))
+    p = found("sg(X, Y) :- up(X, A), sg(A, B), up(Y, B).")
+    assert [[str(x) for x in side] for side in (p.left, p.right)] == [["up(X, A)"], ["up(Y, B)"]]
+    assert sorted(p.readers()) == [0, 1]
+    p = found("sg(X, Y) :- e(X, K), f(K, B), sg(A, B), up(Y, A).")
+    assert [[str(x) for x in side] for side in (p.left, p.right)] == [["e(X, K)", "f(K, B)"], ["up(Y, A)"]]
+    for other in ("sg(X, Z) :- sg(X, Y), e(Y, Z).", "sg(X, Y) :- up(X, A), sg(A, B), up(Y, B), e(X, Y).", "sg(X, Y) :- up(X, A), sg(A, B), up(Y, A).", "sg(X, Y) :- sg(A, B), up(X, Y).", "sg(X, Y) :- up(X, A), sg(A, B), up(Y, B), not e(X)."):
+        assert found(other) is None
+    assert found("sg(X, Y) :- up(X, A), sg(A, B), up(Y, B). sg(X, Y) :- sg(Y, X).") is None
+
+
 def test_nulls_end_a_loop(spark):
     df = spark.createDataFrame([("a", "b"), ("b", None)], "x string, y string")
     out = Engine(spark).register("e", df).add("t(X, Y) :- e(X, Y). t(X, Z) :- t(X, Y), e(Y, Z). t(Y, X) :- t(X, Y).").query()
