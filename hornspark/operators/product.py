@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ast import Literal, Rule, Var
+from ..ast import Literal, Rule
 from ..durable import cut
 from ..functions.terms import all_of
 from ..plans.compile import rule_rows
